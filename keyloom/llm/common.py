@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as a class of Java's and Python's regular expressions
 BLANK = r"[\x20\x09-\x0D]+"
@@ -26,6 +31,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package's source to the workers, once per context, so that they need no installation of it."""
+    context = spark.sparkContext
+    if getattr(context, "_keyloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    name = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="package-")), "keyloom.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, f"{package.name}/{p.relative_to(package)}")
+    context.addPyFile(name)  # served by the driver to every executor
+    context._keyloom_shipped = True
+
+
+def map_batches(df: DataFrame, work: Callable, schema: T.StructType | str) -> DataFrame:
+    """`df.mapInArrow(work, schema)` with this package at hand on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """`df`, marked for broadcast only if a count shows it has at most `rows` narrow rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

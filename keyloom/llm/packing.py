@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textvec
+from .common import map_batches
 
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
@@ -242,4 +243,4 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, en
         if packer.rows:
             yield out()
 
-    return docs.select(id_col, text_col).mapInArrow(work, schema)
+    return map_batches(docs.select(id_col, text_col), work, schema)
