@@ -135,7 +135,7 @@ def plan(distinct: DataFrame, distance: int = DISTANCE) -> list[tuple[list[int],
     ways = [correlated_parts(n, both, m) for m in (2, 3)]
     parts = [part for way in ways for part in way]
     keys = distinct.select(F.explode(F.array(*(F.struct(F.lit(i).alias("part"), _projected(part).alias("v")) for i, part in enumerate(parts)))).alias("k"))
-    counts = keys.groupBy("k.part", "k.v").count().groupBy("part").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).collect()  # five numbers
+    counts = keys.groupBy("k.part", "k.v").count().groupBy("part").agg(F.sum(F.col("count").cast("double") * F.when(F.col("count") <= MOST_COMPARED, F.col("count")).otherwise(BITS + 1)).alias("pairs")).collect()  # five numbers; large groups cost a linear way
     same = {r["part"]: r["pairs"] - n for r in counts}
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
