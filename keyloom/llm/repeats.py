@@ -31,10 +31,10 @@ from .common import map_batches
 
 LENGTH = 50
 ANCHOR = 12
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 6_000_000
 #: bytes of text for each task that compares contexts
 TASK_BYTES = 3_000_000
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
 def _words_at(buf: np.ndarray) -> np.ndarray:

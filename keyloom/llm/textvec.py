@@ -15,6 +15,7 @@ import numpy as np
 BLOCK_CHARS = 4_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, hence invertible modulo 2**64
 _MASK = (1 << 64) - 1
+_TILE = 1 << 18
 
 
 def blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
@@ -38,7 +39,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cps, starts
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=6)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     inverse = pow(base, -1, 1 << 64)
@@ -61,22 +62,32 @@ def _size_for(n: int) -> int:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of values[start:end] for each span, from two prefix polynomials."""
-    n = len(values)
-    size = _size_for(n + 1)
-    total = None
-    v = values.astype(np.uint64) + np.uint64(1)
-    for k, base in enumerate(_BASES):
-        up, down = _powers(base, size)
-        prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(v * up[:n], out=prefix[1:])
-        h = (prefix[ends] - prefix[starts]) * down[starts]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9 if k else 0x94D049BB133111EB)
-        total = h if total is None else total ^ (h >> np.uint64(7)) ^ (h << np.uint64(57))
-    total += (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    total ^= total >> np.uint64(31)
-    return total
+    """A mixed 64-bit hash of values[start:end] for each span, from two prefix polynomials; starts must ascend.
+
+    The hash depends on the values alone, so prefixes are taken over one tile of the values at a time.
+    """
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for t in range(0, len(values), _TILE):
+        a, b = np.searchsorted(starts, (t, t + _TILE))
+        if a == b:
+            continue
+        s, e = starts[a:b] - t, ends[a:b] - t
+        v = values[t : t + int(e.max())].astype(np.uint64) + np.uint64(1)
+        size = _size_for(len(v) + 1)
+        total = out[a:b]
+        for k, base in enumerate(_BASES):
+            up, down = _powers(base, size)
+            prefix = np.zeros(len(v) + 1, dtype=np.uint64)
+            np.cumsum(v * up[: len(v)], out=prefix[1:])
+            h = (prefix[e] - prefix[s]) * down[s]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9 if k else 0x94D049BB133111EB)
+            if k:
+                h = (h >> np.uint64(7)) ^ (h << np.uint64(57))
+            total ^= h
+        total += (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(31)
+    return out
 
 
 class HashTable:
