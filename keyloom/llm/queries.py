@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neighbours, packing, quality, repeats, secret_scan, simhash
-from .common import table
+from . import language, licenses, mixing, neighbours, packing, quality, repeats, scoring, secret_scan, simhash
+from .common import broadcast_if_small, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,22 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
+    marked = docs.select("doc_id", "text").join(broadcast_if_small(good, 1_000_000), "doc_id", "left")
+    return scoring.score(docs, scoring.train(marked, F.col("text"), F.col("good")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -59,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_language": op3_language,
     "op4_repeats": op4_repeats,
+    "op5_licenses": op5_licenses,
     "op6_packing": op6_packing,
+    "op7_scoring": op7_scoring,
     "op8_simhash": op8_simhash,
     "op9_neighbours": op9_neighbours,
     "op10_quality": op10_quality,
