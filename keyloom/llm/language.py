@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .common import map_batches
+from .common import map_batches, ship
 
 MOST_ROWS = 2000  # about so many training rows per language
 SLOTS = 1 << 16  # hashed trigrams
@@ -229,3 +229,19 @@ def train_outside_fold(docs: DataFrame, id_col: str = "doc_id", lang_col: str =
     """A model learned from rows whose crc32(id as text) mod 5 is not 0."""
     learned = docs.filter(remainder(F.col(id_col)) != 0)
     return train(learned, F.col(lang_col), F.col(text_col), F.crc32(F.concat(F.lit("pick "), F.col(id_col).cast("string"))))
+
+
+def with_language(docs: DataFrame, model: Model, lang_name: str, score_name: str, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+    """`docs` with two more columns: the language of the text and its share of the letters, as `identify` gives them."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("lang string, score double")
+    def label(texts):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        held = [t or "" for t in texts]
+        parts = [label_texts(model, held[a:b], penalty)[:2] for a, b in textvec.blocks(held, GROUP_CHARS)]
+        return pd.DataFrame({"lang": [x for langs, _ in parts for x in langs], "score": np.concatenate([s for _, s in parts]) if parts else np.empty(0)})
+
+    got = docs.withColumn(lang_name, label(F.col(f"`{text_col}`")))
+    return got.withColumn(score_name, F.col(lang_name)["score"]).withColumn(lang_name, F.col(lang_name)["lang"])

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import broadcast_if_small, cut, map_batches
 
@@ -252,3 +253,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = cut(linked.select("fp", "label").join(broadcast_if_small(roots), "label").select("fp", "component"))
     named = distinct.join(broadcast_if_small(of), "fp", "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "least").alias("component"))
     return held.join(named, F.col("fp") == F.col("of_fp")).select(F.col("id").alias(id_col), "fp", "component")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row per component: one with the component's smallest id; rows that repeat it go too.
+
+    Among rows of one id that stand for a component the one with the smallest text hash stays. A component that has no
+    id but null keeps one row. All columns stay as they are. Only a text's hash and row marks travel, except in the
+    last step, where rows meet the list of those to keep by id and text hash.
+    """
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("h"))
+    found = near_duplicates(docs.select(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("h")).alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
+    kept = found.filter(F.col("id") == F.col("component")).select("id.id", "id.h").distinct()
+    on = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.h") == F.col("b.h"))
+    few = marked.alias("a").join(broadcast_if_small(cut(kept)).alias("b"), on, "left_semi")
+    repeated = few.groupBy("id", "h").count().filter("count > 1").limit(1).count()
+    if repeated:  # whole rows that repeat: one of each stays
+        few = few.withColumn("nth", F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))).filter("nth = 1")
+    return few.select("doc.*")
