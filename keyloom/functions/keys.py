@@ -10,6 +10,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hex_key(number: Column) -> Column:
@@ -57,10 +58,14 @@ def hashed_sha(hex_text: Column) -> Column:
     return F.substring(F.sha2(hex_text, 256), 1, 32)
 
 
-@F.pandas_udf("string")
-def hashed_blake2b(hex_text: pd.Series) -> pd.Series:
+def hashed_blake2b(hex_text: Column) -> Column:
     """The first 16 bytes of the 32-byte Blake2b digest of a key given in hex, in hex."""
-    return hex_text.map(lambda h: None if h is None else hashlib.blake2b(bytes.fromhex(h), digest_size=32).digest()[:16].hex())
+
+    @F.pandas_udf(T.StringType())
+    def digest(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda h: None if h is None else hashlib.blake2b(bytes.fromhex(h), digest_size=32).digest()[:16].hex())
+
+    return digest(hex_text)
 
 
 def uniform_cell_of(key: bytes, cells: int) -> int:

@@ -159,9 +159,9 @@ def as_of_state(spark, sf):
     return state.live(thin(spark, sf), limit=5000).select("k", "off", "v")
 
 
-@query(f"WITH {LOG} SELECT k, off, v FROM (SELECT * FROM log WHERE off < 5000 AND k = '{key(7)}' QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) WHERE kind = 'record'")
+@query(f"WITH {LOG} SELECT k, off, v FROM (SELECT * FROM log WHERE off < 5000 AND k = '{key(5)}' QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) WHERE kind = 'record'")
 def get_as_of(spark, sf):
-    return state.live(scan.get(thin(spark, sf), key(7)), limit=5000).select("k", "off", "v")
+    return state.live(scan.get(thin(spark, sf), key(5)), limit=5000).select("k", "off", "v")
 
 
 @query(f"WITH {LOG} SELECT k, count(*) AS pending, min(off) AS first_off, max(off) AS last_off FROM log WHERE off >= 9000 GROUP BY k")
@@ -385,9 +385,9 @@ def target_ratio(spark, sf):
     return retention.target_position(thin(spark, sf), 0.3)
 
 
-@query(f"WITH {LIVE} SELECT k, off FROM st WHERE off >= 9000")
+@query(f"WITH {LIVE} SELECT k, off FROM st WHERE off >= 9900")
 def reclaimed_floor(spark, sf):
-    return state.live(thin(spark, sf)).filter("off >= 9000").select("k", "off")
+    return state.live(thin(spark, sf)).filter("off >= 9900").select("k", "off")
 
 
 @query("SELECT min(event_id) AS lowest, max(event_id) AS highest FROM events")
@@ -668,10 +668,10 @@ def index_fetch(spark, sf):
     return index.join(log(spark, sf).select("off", F.col("props").alias("value")), "off").select("k", "off", "value")
 
 
-@query(f"WITH {LIVE} SELECT k, off, strlen(props)::BIGINT AS payload_len FROM st WHERE {CELL} = 17")
+@query(f"WITH {LIVE} SELECT k, off, strlen(props)::BIGINT AS payload_len FROM st WHERE {CELL} = 30")
 def load_index(spark, sf):
     live = state.live(log(spark, sf).select("off", "k", "kind", F.octet_length("props").alias("len")))
-    return live.filter(keys.uniform_cell(F.md5("k"), 64) == 17).select("k", "off", long("len", "payload_len"))
+    return live.filter(keys.uniform_cell(F.md5("k"), 64) == 30).select("k", "off", long("len", "payload_len"))
 
 
 @query(f"WITH {LIVE} SELECT (SELECT count(*) FROM log) = 0 AS never_written, count(*) = 0 AS nothing_live FROM st")
