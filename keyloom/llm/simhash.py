@@ -266,7 +266,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = near_duplicates(docs.select(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("h")).alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
     kept = found.filter(F.col("id") == F.col("component")).select("id.id", "id.h").distinct()
     on = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.h") == F.col("b.h"))
-    few = marked.alias("a").join(broadcast_if_small(cut(kept)).alias("b"), on, "left_semi")
+    few = marked.alias("a").join(cut(kept).alias("b"), on, "left_semi")
     repeated = few.groupBy("id", "h").count().filter("count > 1").limit(1).count()
     if repeated:  # whole rows that repeat: one of each stays
         few = few.withColumn("nth", F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))).filter("nth = 1")
