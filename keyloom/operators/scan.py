@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keyloom.functions import keys
+from keyloom.operators.lineage import cut
 
 
 def bounded(state: DataFrame, lower: str | None = None, upper: str | None = None, key: str = "k") -> DataFrame:
@@ -20,20 +21,26 @@ def ordered(state: DataFrame, reverse: bool = False, key: str = "k") -> DataFram
     return state.orderBy(F.desc(key) if reverse else F.asc(key))
 
 
-def ranked(state: DataFrame, by: list[str] | None = None, reverse: bool = False, key: str = "k") -> DataFrame:
-    """`state` with `pos`, the place in key order within `by`.
+def running_sum(df: DataFrame, order: Column, value: Column, name: str) -> DataFrame:
+    """`df` with the sum of `value` over all rows up to each in `order`, which must be total.
 
-    Without `by` the place is global. It is found from counts: the range-partitioned rows are numbered within their
-    partitions, and the few partition totals give the offsets, so no task sees all rows.
+    Rows are dealt out by range and summed within their partitions; the partitions' totals, one row each, give what
+    lies ahead. No task sees all rows. The dealt rows are checkpointed: both uses must see the same ranges.
     """
+    placed = cut(df.repartitionByRange(order).withColumn("part_of_range", F.spark_partition_id()))
+    inside = placed.withColumn(name, F.sum(value).over(Window.partitionBy("part_of_range").orderBy(order)))
+    totals = placed.groupBy("part_of_range").agg(F.sum(value).alias("total_of_range"))
+    ahead = F.sum("total_of_range").over(Window.orderBy("part_of_range").rowsBetween(Window.unboundedPreceding, -1))
+    first = totals.select("part_of_range", F.coalesce(ahead, F.lit(0)).alias("ahead_of_range"))
+    return inside.join(first, "part_of_range").withColumn(name, F.col(name) + F.col("ahead_of_range")).drop("part_of_range", "ahead_of_range")
+
+
+def ranked(state: DataFrame, by: list[str] | None = None, reverse: bool = False, key: str = "k") -> DataFrame:
+    """`state` with `pos`, the place in key order within `by`, or in the whole table."""
     order = F.desc(key) if reverse else F.asc(key)
     if by:
         return state.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long"))
-    placed = state.repartitionByRange(order).withColumn("part", F.spark_partition_id())
-    inside = placed.withColumn("pos", F.row_number().over(Window.partitionBy("part").orderBy(order)).cast("long"))
-    totals = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    first = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    return inside.join(first, "part").withColumn("pos", F.col("pos") + F.col("ahead")).drop("part", "ahead")
+    return running_sum(state, order, F.lit(1).cast("long"), "pos")
 
 
 def get(state: DataFrame, key_value: str, key: str = "k") -> DataFrame:

@@ -490,11 +490,7 @@ def list_files(spark, sf):
 SELECT doc_id, len::BIGINT AS len, ((stop - len) // 65536)::BIGINT AS fragment FROM p WHERE (stop - len) // 65536 <> (stop - 1) // 65536""")
 def fragment_gaps(spark, sf):
     frames = table(spark, sf, "documents").select("doc_id", (F.floor((F.octet_length("text") + 15) / 8) * 8).cast("long").alias("len"))
-    # running sums over parts: sums inside a part of the id range, and the parts' own totals
-    parts = frames.withColumn("part", F.expr("doc_id div 1024"))
-    totals = parts.groupBy("part").agg(F.sum("len").alias("t"))
-    ahead = totals.select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    stop = parts.join(ahead, "part").withColumn("stop", F.col("ahead") + F.sum("len").over(Window.partitionBy("part").orderBy("doc_id")))
+    stop = scan.running_sum(frames, F.asc("doc_id"), F.col("len"), "stop")
     return stop.filter("(stop - len) div 65536 <> (stop - 1) div 65536").select("doc_id", "len", F.expr("(stop - len) div 65536").alias("fragment"))
 
 

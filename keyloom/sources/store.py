@@ -12,12 +12,13 @@ import json
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from keyloom.functions import keys
-from keyloom.operators import scan, state
+from keyloom.operators import retention, scan, state, stats
 from keyloom.sources.registry import KeySpace, from_json, reconcile, to_json
 
 LOG = T.StructType([T.StructField("ks", T.StringType()), T.StructField("off", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("k", T.StringType()), T.StructField("v", T.BinaryType())])
@@ -250,6 +251,46 @@ class Store:
             live.repartitionByRange("ks", "k").sortWithinPartitions("ks", "k").write.parquet(f"{self.root}/{staged}")
             return self._publish({**m, "commits": [staged], "drops": []})
 
+    def relocate(self, ks: str, decide: Column, mode: str = "index", target: int | None = None) -> int:
+        """Apply a relocation filter to one key space and rewrite the log as what is left; others keep their live rows.
+
+        `decide` gives keep, remove or stop for (k, v, off, kind). Mode `log`: the first stop sets the cut. Mode
+        `index`: live rows below the target that decide remove go.
+        """
+        with self.lock():
+            m = self.manifest()
+            name = self.space(ks).name
+            rows = self.log()
+            if mode == "log":
+                left = retention.relocate_by_log(rows, ["ks", "k"], decide, F.col("ks") == name)
+            else:
+                below = m["next_off"] if target is None else target
+                left = retention.relocate_by_index(rows, ["ks", "k"], F.when(F.col("ks") == name, decide).otherwise("keep"), below)
+            staged = f"log/{m['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
+            left.select(*LOG.names).repartitionByRange("ks", "k").sortWithinPartitions("ks", "k").write.parquet(f"{self.root}/{staged}")
+            return self._publish({**m, "commits": [staged], "drops": []})
+
+    def target_position(self, ratio: float) -> int | None:
+        """The offset at a ratio of the way from the lowest to the highest; none for an empty log."""
+        return retention.target_position(self.log(), ratio).first()["target"]
+
+    def files_of(self, version: int | None = None) -> DataFrame:
+        """The log's files: name, size, time of change."""
+        m = self.manifest(version)
+        if not m["commits"]:
+            return self.spark.createDataFrame([], "name string, size long, created timestamp")
+        rows = self.spark.read.schema(LOG).parquet(*(f"{self.root}/{c}" for c in m["commits"]))
+        return rows.select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("created")).distinct()
+
+    def verify(self, ks: str | int) -> dict:
+        """Live keys by the log against those that a scan finds: totals, lacking, surplus, ok."""
+        s = self.space(ks)
+        index = F.col("k") if s.reduce_to is None else keys.reduced(F.col("k"), *s.reduce_to)
+        latest = self.log().filter(F.col("ks") == s.name).withColumn("index_key", index)
+        w = Window.partitionBy("index_key").orderBy(F.desc("off"))
+        expected = latest.withColumn("nth", F.row_number().over(w)).filter("nth = 1 and kind = 'record'")
+        return stats.verify(expected, self.state(ks), ["k"]).first().asDict()
+
     def vacuum(self, keep: int = 1) -> list[str]:
         """Remove manifests but the newest `keep` and pinned ones, then commits that no manifest names."""
         with self.lock():

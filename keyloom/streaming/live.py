@@ -40,3 +40,47 @@ def frontier(spark: SparkSession, name: str) -> int:
     """The highest offset in a memory table of newest versions; -1 if it is empty."""
     got = spark.table(name).agg(F.max("off")).first()[0]
     return -1 if got is None else got
+
+
+def newest_with_ttl(stream: DataFrame, ttl_ms: int, key: str = "k", order: str = "off") -> DataFrame:
+    """Versions that are newer than any seen of their key; the state of a key goes when it was not written for `ttl_ms`.
+
+    State is one offset per key. It needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    names, at = list(stream.columns), stream.columns.index(order)
+
+    class Newest(StatefulProcessor):
+        def init(self, handle):  # noqa: ANN001, ANN202
+            self.seen = handle.getValueState("seen", "off long", ttlDurationMs=ttl_ms)
+
+        def handleInputRows(self, key, rows, timer_values):  # noqa: ANN001, ANN202, N802
+            import pandas as pd
+
+            held = self.seen.get()[0] if self.seen.exists() else -1
+            best = None
+            for part in rows:
+                i = part[order].idxmax()
+                if int(part.loc[i, order]) > held:
+                    held, best = int(part.loc[i, order]), part.loc[[i]]
+            if best is not None:
+                self.seen.update((held,))
+                yield pd.DataFrame(best, columns=names)
+
+        def close(self):  # noqa: ANN202
+            pass
+
+    assert at >= 0
+    return stream.groupBy(key).transformWithStateInPandas(Newest(), stream.schema, "Append", "processingTime")
+
+
+def periodically(stream: DataFrame, job: Callable[[DataFrame, int], None], every: str, checkpoint: str) -> StreamingQuery:
+    """Run a job on each micro-batch at an interval: periodic snapshots, promotion. The caller stops the query."""
+    return stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def paced(spark: SparkSession, rows_per_second: int) -> DataFrame:
+    """A stream of writes at a steady pace: offsets and 16-digit hex keys."""
+    rows = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return rows.select(F.col("value").alias("off"), F.format_string("%016x", F.col("value") % 1000).alias("k"), F.lit("record").alias("kind"))
