@@ -1,7 +1,9 @@
 """Removal of byte strings that repeat across documents: every byte under a 50-byte string that an earlier one has too.
 
 A window is 50 consecutive bytes of a document. Its anchor is the smallest (by hash) of its 12-byte strings, so equal
-windows have equal anchors at equal places. Neighbouring windows share an anchor; the bytes under them are a context,
+windows have equal anchors at equal places. Strings that very many documents have, by a sample, count as larger than all
+others: they are anchors only where a window has nothing else, so a common line does not bring all its surroundings to
+one task. Any list of such strings gives the same result; the sample only says which lists help. Neighbouring windows share an anchor; the bytes under them are a context,
 some 70 bytes for some 20 windows. A block of documents sends each distinct context once, with the smallest id that
 has it, to the task that the anchor's hash names; copies inside a block, however many, travel once. That task
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .common import map_batches
+from .common import cut, map_batches
 
 LENGTH = 50
 ANCHOR = 12
@@ -35,6 +37,10 @@ BLOCK_BYTES = 6_000_000
 #: bytes of text for each task that compares contexts
 TASK_BYTES = 3_000_000
 _CHUNK = 1 << 20
+#: documents sampled for strings in very many documents, and the share of them that makes a string one
+SAMPLE = 10_000
+COMMON = 0.01
+_NONE = np.empty(0, dtype=np.uint64)
 
 
 def _words_at(buf: np.ndarray) -> np.ndarray:
@@ -57,25 +63,32 @@ def anchor_hashes(buf: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
     return _mix(eight[at] * np.uint64(0x9E3779B97F4A7C15) + _mix(tail[at].copy()))
 
 
-def find_contexts(buf: np.ndarray, doc_starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _order(buf: np.ndarray, at: slice, common: np.ndarray) -> np.ndarray:
+    """40 bits by which anchors are ordered, shifted up by 24: a bit for common strings, then the hash's first 39."""
+    h = anchor_hashes(buf, at) >> np.uint64(24)
+    key = h >> np.uint64(1)
+    if len(common):
+        key[_is_listed(h, common)] |= np.uint64(1 << 39)
+    return key << np.uint64(24)
+
+
+def find_contexts(buf: np.ndarray, doc_starts: np.ndarray, length: int = LENGTH, common: np.ndarray = _NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window start, last window start and anchor position of each context, in order; texts do not mix.
 
     `buf` holds the texts end to end, then at least 24 bytes of padding.
     """
     n_kmers = length - ANCHOR + 1
     total = int(doc_starts[-1])
-    sizes = np.diff(doc_starts)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     blocked = np.zeros(total + 1, dtype=np.int8)  # windows that would leave their text
     ends = doc_starts[1:]
     np.add.at(blocked, np.maximum(doc_starts[:-1], ends - length + 1), 1)
     np.add.at(blocked, ends, -1)
     free = np.cumsum(blocked[:-1], dtype=np.int32) == 0
-    del sizes
     for c in range(0, total, _CHUNK):
         last = min(total, c + _CHUNK)
         stop = min(total + 4, last + n_kmers + 4)
-        key = anchor_hashes(buf, slice(c, stop)) >> np.uint64(24) << np.uint64(24) | np.arange(stop - c, dtype=np.uint64)
+        key = _order(buf, slice(c, stop), common) | np.arange(stop - c, dtype=np.uint64)
         span = 1
         while span * 2 <= n_kmers:
             key = np.minimum(key[:-span], key[span:])
@@ -102,12 +115,12 @@ def find_contexts(buf: np.ndarray, doc_starts: np.ndarray, length: int = LENGTH)
 class Block:
     """Some documents, their contexts, and the distinct ones among these, in the order (bucket, hash)."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], buckets: int) -> None:
+    def __init__(self, ids: list[int], texts: list[bytes], buckets: int, common: np.ndarray = _NONE) -> None:
         self.ids = np.array(ids, dtype=np.int64)
         self.starts = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(t) for t in texts], out=self.starts[1:])
         self.buf = np.frombuffer(b"".join(texts) + bytes(64), dtype=np.uint8)
-        self.first, self.last, anchor = find_contexts(self.buf, self.starts)
+        self.first, self.last, anchor = find_contexts(self.buf, self.starts, common=common)
         doc = self.ids[np.searchsorted(self.starts, self.first, side="right") - 1]
         self.doc = doc
         ends = self.last + LENGTH
@@ -172,7 +185,53 @@ def _known(ids: list, texts: list[bytes]) -> tuple[list[int], list[bytes]]:
     return [i for i, _ in pairs], [t for _, t in pairs]
 
 
-def _send(buckets: int, block_bytes: int):  # noqa: ANN202
+def _is_listed(h: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Positions of `h` (40-bit hashes) whose hash is in the sorted list; a table of first bits spares most lookups."""
+    table = np.zeros(1 << 16, dtype=bool)
+    table[(listed >> np.uint64(24)).astype(np.int64)] = True
+    some = np.flatnonzero(table[(h >> np.uint64(24)).astype(np.int64)])
+    return some[listed[np.minimum(np.searchsorted(listed, h[some]), len(listed) - 1)] == h[some]]
+
+
+def common_strings(rows: DataFrame, n_rows: int, block_bytes: int = BLOCK_BYTES, sample: int = SAMPLE, share: float = COMMON) -> np.ndarray:
+    """Hashes (40 bits, sorted) of ANCHOR-byte strings that at least `share` of about `sample` documents have.
+
+    First the anchors are counted, then all strings near the common ones. A text of n bytes has under n strings, so at
+    most n/share of them, for the mean n of the sample, come to the driver.
+    """
+    rate = int(min(1.0, sample / max(n_rows, 1)) * (1 << 20))
+    picked = cut(rows.filter((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate) & F.col("id").isNotNull()))
+    least = max(20, int(share * min(sample, n_rows)))
+
+    def count(near: np.ndarray):  # noqa: ANN202
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, texts in _blocks(batches, block_bytes):
+                starts = np.zeros(len(texts) + 1, dtype=np.int64)
+                np.cumsum([len(t) for t in texts], out=starts[1:])
+                buf = np.frombuffer(b"".join(texts) + bytes(64), dtype=np.uint8)
+                h = anchor_hashes(buf, slice(0, int(starts[-1]))) >> np.uint64(24)
+                if len(near):
+                    reach = np.arange(1 - LENGTH, LENGTH)
+                    at = np.unique((_is_listed(h, near)[:, None] + reach).ravel())
+                    at = at[(at >= 0) & (at < len(h))]
+                else:
+                    _, _, at = find_contexts(buf, starts)
+                if len(at):
+                    doc = np.searchsorted(starts, at, side="right")
+                    order = np.lexsort((doc, h[at]))
+                    k, d = h[at][order], doc[order]
+                    once = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+                    got, n = np.unique(k[once], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+        counted = map_batches(picked, work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        return np.sort(np.array([r["h"] for r in counted.select("h").collect()], dtype=np.uint64))
+
+    anchors = count(_NONE)
+    return count(anchors) if len(anchors) else anchors
+
+
+def _send(buckets: int, block_bytes: int, common: np.ndarray):  # noqa: ANN202
     """Rows (to, block, mark, body): for each block and bucket its distinct contexts, or rows (block, block, 0, texts)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +239,7 @@ def _send(buckets: int, block_bytes: int):  # noqa: ANN202
 
         pack = zstandard.ZstdCompressor(level=3)
         for number, ids, texts in _blocks(batches, block_bytes):
-            block = Block(*_known(ids, texts), buckets)
+            block = Block(*_known(ids, texts), buckets, common)
             edges = np.flatnonzero(np.concatenate([[True], block.bucket[1:] != block.bucket[:-1], [True]])) if len(block.bucket) else np.zeros(1, dtype=np.int64)
             first, last = block.first[block.leader], block.last[block.leader]
             sizes = (last - first).astype(np.uint8)
@@ -344,7 +403,7 @@ def _removed(block: Block, masks: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut_texts(buckets: int, id_name: str):  # noqa: ANN202
+def _cut_texts(buckets: int, id_name: str, common: np.ndarray):  # noqa: ANN202
     """Over rows sorted by (block, to): the texts (to = -1), then the answers in the order of their buckets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +417,7 @@ def _cut_texts(buckets: int, id_name: str):  # noqa: ANN202
             if rows[0][0] != -1:
                 raise RuntimeError("answers without their block: the input was read in another order the second time")
             ids, texts = pickle.loads(unpack.decompress(rows[0][3]))
-            block = Block(*_known(ids, texts), buckets)
+            block = Block(*_known(ids, texts), buckets, common)
             parts = [np.frombuffer(unpack.decompress(r[3]), dtype=np.uint64) for r in rows[1:]]
             masks = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
             if len(masks) != len(block.leader) or any(r[2] != block.fingerprint() for r in rows[1:]):
@@ -403,13 +462,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     answers that do not fit their block stop the job.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    common = common_strings(rows, n_rows, block_bytes)
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
     buckets = 2 * parts
     form = "to long, block long, mark long, body binary"
-    sent = map_batches(rows, _send(buckets, block_bytes), form).repartition(parts, "to").sortWithinPartitions("to", "block")
+    sent = map_batches(rows, _send(buckets, block_bytes, common), form).repartition(parts, "to").sortWithinPartitions("to", "block")
     answers = map_batches(sent, _compare(), form)
     both = answers.unionByName(map_batches(rows, _texts(block_bytes), form))
     again = both.repartition(max(1, parts), "block").sortWithinPartitions("block", "to")
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
-    return map_batches(again, _cut_texts(buckets, id_col), schema)
+    return map_batches(again, _cut_texts(buckets, id_col, common), schema)

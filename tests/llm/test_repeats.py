@@ -50,6 +50,23 @@ def test_runs_of_one_letter(spark):
     assert run(df) == brute(rows)
 
 
+def test_a_common_line_in_many_surroundings(spark):
+    """Strings that count as common change the anchors, not the result."""
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    line = "a line of forty-seven bytes, more or less, here"
+    rows = [(i, word(rng.integers(20, 90)) + line + word(rng.integers(20, 90)) + (line * 2 if i % 3 == 0 else "")) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id").cache()
+    held = df.selectExpr("doc_id as id", "text", "spark_partition_id() as part")
+    common = R.common_strings(held, 80, share=0.3)
+    assert len(common)
+    assert run(df, block_bytes=2_000) == brute(rows)
+    texts = [t.encode() for _, t in rows]
+    plain, aware = R.Block(list(range(80)), texts, 8), R.Block(list(range(80)), texts, 8, common)
+    meet = lambda b: np.unique(R.anchor_hashes(b.buf, b.anchor[b.leader]), return_counts=True)[1].max()
+    assert meet(aware) < meet(plain) / 2
+
+
 def test_collisions_are_split_by_bytes(monkeypatch):
     monkeypatch.setattr(R.textvec, "span_hashes", lambda values, s, e: np.zeros(len(s), dtype=np.uint64))
     buf = np.frombuffer(b"x" * 60 + b"y" * 60 + b"x" * 60 + bytes(64), dtype=np.uint8)
