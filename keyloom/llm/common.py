@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyloom.operators.lineage import cut
+
+__all__ = ["BLANK", "NOT_BLANK", "broadcast_if_small", "cut", "map_batches", "ship", "table", "words"]
+
 #: ASCII white space, as a class of Java's and Python's regular expressions
 BLANK = r"[\x20\x09-\x0D]+"
 NOT_BLANK = r"[^\x20\x09-\x0D]+"
@@ -22,15 +26,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and read back from the shared checkpoint folder: no lineage, safe when executors are lost."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def ship(spark: SparkSession) -> None:
     """Give this package's source to the workers, once per context, so that they need no installation of it."""
     context = spark.sparkContext
