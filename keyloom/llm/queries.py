@@ -78,4 +78,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+_WS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_MIXING = f"""
+WITH s AS (SELECT doc_id, source, len({_WS})::BIGINT AS size FROM documents),
+g AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, source_size::DOUBLE * {mixing.MOST_EPOCHS} AS cap FROM g),
+w AS (SELECT *, {list(mixing.WEIGHTS)}[(rank - 1) % {len(mixing.WEIGHTS)} + 1]::DOUBLE AS w FROM r),
+l AS (SELECT *, ((SELECT sum(source_size) FROM g)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY cap / w, rank) AS nth FROM w),
+t AS (SELECT source, source_size, least(cap, (SELECT arg_min(level, nth) FROM l WHERE level * w <= cap) * w) AS target FROM l),
+b AS (SELECT *, floor(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS passes FROM t),
+d AS (SELECT s.doc_id, s.size, b.source_size, b.target, passes, budget - passes * b.source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(concat_ws('|', 'mix', s.doc_id::VARCHAR, size::VARCHAR)), s.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+    FROM s JOIN b ON s.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, rest - ahead)))::BIGINT AS taken FROM d"""
+
+_NORMAL = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+_TEMPLATES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in licenses.TEMPLATES.items())
+
+_LICENSES = f"""
+WITH t AS (SELECT name, {_NORMAL} AS ws FROM (VALUES {_TEMPLATES}) v(name, text)),
+tg AS (SELECT DISTINCT name, array_to_string(ws[i:i + 4], ' ') AS g FROM t, range(1, len(ws) - 3) r(i)),
+d AS (SELECT doc_id, {_NORMAL} AS ws FROM documents),
+dg AS (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS g, min(i) AS place FROM d, range(1, len(ws) - 3) r(i) GROUP BY 1, 2),
+n AS (SELECT name, count(*) AS n FROM tg GROUP BY 1)
+SELECT doc_id, name AS template, count(*)::DOUBLE / n AS containment, min(place)::BIGINT AS first_word, (max(place) + 4)::BIGINT AS last_word
+FROM dg JOIN tg USING (g) JOIN n USING (name) GROUP BY doc_id, name, n HAVING count(*) >= {licenses.LEAST} * n"""
+
+_RULES = {"base": "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)", "symbols": "(10 * n_symbols > word_chars * 3)", "lines": "(5 * n_dup_lines > n_words)"}
+_RATE = "(k_{0} + m_{0} * c_{0}) / (n + c_{0}) > {1}"
+
+_QUALITY = rf"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, {_WS} AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+p AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS g FROM w, range(1, len(ws) - 3) r(i)),
+c AS (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM p),
+q AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prev FROM c WHERE n > 1),
+rep AS (SELECT rid, sum(least(5, i - coalesce(prev, i - 5)))::BIGINT AS n FROM q GROUP BY rid),
+f AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (rid)),
+h AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER ({rule}) AS k_{r}" for r, rule in _RULES.items())} FROM f GROUP BY 1),
+m AS (SELECT avg(n) AS a, {", ".join(f"avg(k_{r} / n) AS m_{r}, var_pop(k_{r} / n) AS v_{r}" for r in _RULES)} FROM h),
+c2 AS (SELECT *, {", ".join(f"CASE WHEN v_{r} > 0 THEN greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 1.0) ELSE a END AS c_{r}" for r in _RULES)} FROM m),
+v AS (SELECT h.source, {" OR ".join(_RATE.format(r, quality.HOST_LIMITS[r]) for r in _RULES)} AS rejected FROM h, c2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_RULES["base"]} AS base_failed, NOT {_RULES["base"]} AND NOT rejected AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""
+
+#: queries that SQL can express; the others are tested against brute force, round trips or held-out labels
+ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op5_licenses": _LICENSES, "op10_quality": _QUALITY}

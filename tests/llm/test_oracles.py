@@ -1,0 +1,20 @@
+"""Queries with SQL against DuckDB."""
+
+import duckdb
+import pytest
+
+from keyloom.llm import queries
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    result = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in result.description]
+    want = result.fetchall()
+    df = queries.QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in columns)) for r in df.collect())
