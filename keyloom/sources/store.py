@@ -113,6 +113,22 @@ class Store:
         self.spaces = spaces
         self.files.create("registry.json", json.dumps(to_json(spaces)), overwrite=True)
 
+    def configure(self, **settings: object) -> dict:
+        """Keep settings with the store, for all who open it: `codec` of log files, and whatever its users add."""
+        held = {**self.config(), **settings}
+        self.files.create("config.json", json.dumps(held), overwrite=True)
+        return held
+
+    def config(self) -> dict:
+        return json.loads(self.files.read("config.json")) if self.files.exists("config.json") else {}
+
+    @property
+    def name(self) -> str:
+        return self.root.rstrip("/").rpartition("/")[2]
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        rows.write.option("compression", self.config().get("codec", "zstd")).parquet(f"{self.root}/{folder}")
+
     def space(self, name: str | int) -> KeySpace:
         for s in self.spaces:
             if s.state == "declared" and (s.name == name or s.id == name):
@@ -147,7 +163,7 @@ class Store:
             staged = f"log/{m['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
             # offsets: unique and above all earlier ones; within a commit no key has two, so their order is free
             rows = once.select("ks", (F.monotonically_increasing_id() + F.lit(m["next_off"])).alias("off"), "kind", "k", F.col("v").cast("binary").alias("v"))
-            rows.write.parquet(f"{self.root}/{staged}")
+            self._write(rows, staged)
             most = self.spark.read.schema(LOG).parquet(f"{self.root}/{staged}").agg(F.max("off")).first()[0]
             return self._publish({**m, "next_off": (most if most is not None else m["next_off"] - 1) + 1, "commits": [*m["commits"], staged]})
 
@@ -248,7 +264,7 @@ class Store:
             m = self.manifest()
             staged = f"log/{m['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
             live = state.live(self.log(), ["ks", "k"]).select(*LOG.names)
-            live.repartitionByRange("ks", "k").sortWithinPartitions("ks", "k").write.parquet(f"{self.root}/{staged}")
+            self._write(live.repartitionByRange("ks", "k").sortWithinPartitions("ks", "k"), staged)
             return self._publish({**m, "commits": [staged], "drops": []})
 
     def relocate(self, ks: str, decide: Column, mode: str = "index", target: int | None = None) -> int:
@@ -267,7 +283,7 @@ class Store:
                 below = m["next_off"] if target is None else target
                 left = retention.relocate_by_index(rows, ["ks", "k"], F.when(F.col("ks") == name, decide).otherwise("keep"), below)
             staged = f"log/{m['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-            left.select(*LOG.names).repartitionByRange("ks", "k").sortWithinPartitions("ks", "k").write.parquet(f"{self.root}/{staged}")
+            self._write(left.select(*LOG.names).repartitionByRange("ks", "k").sortWithinPartitions("ks", "k"), staged)
             return self._publish({**m, "commits": [staged], "drops": []})
 
     def target_position(self, ratio: float) -> int | None:
