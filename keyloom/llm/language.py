@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .common import map_batches, ship
+from .common import map_batches
 
 MOST_ROWS = 2000  # about so many training rows per language
 SLOTS = 1 << 16  # hashed trigrams
 PENALTY = 12.0  # log probability that a switch of language must win back
 OUTSIDE = -40.0  # score of a word in a language that does not use its script
-GROUP_CHARS = 16_000_000
+GROUP_CHARS = 4_000_000
 UNKNOWN = "und"
 #: First code points of ranges of scripts; a range ends where the next begins.
 SCRIPTS = (
@@ -111,11 +111,11 @@ def train(labelled: DataFrame, lang: Column, text: Column, pick: Column, most: i
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros((len(languages), SLOTS + len(SCRIPT_NAMES)), dtype=np.int64)
-        for batch in batches:
+        for batch in textvec.slices(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k, name in enumerate(languages):
                 mine = [t for t, x in zip(texts, langs, strict=True) if x == name]
-                for a, b in textvec.blocks(mine, 2_000_000):
+                for a, b in textvec.blocks(mine, 1_000_000):
                     slots, begins, _, _, script, _ = words_of(mine[a:b])
                     got[k, :SLOTS] += np.bincount(slots, minlength=SLOTS)
                     got[k, SLOTS:] += np.bincount(script, minlength=len(SCRIPT_NAMES))
@@ -178,7 +178,7 @@ def label_texts(model: Model, texts: list[str], penalty: float = PENALTY) -> tup
     """Of each text its language, the share of its letters in that language, and its spans (lang, start, end)."""
     n_langs = len(model.languages)
     parts = []
-    for a, b in textvec.blocks(texts, 2_000_000):
+    for a, b in textvec.blocks(texts, 1_000_000):
         scores, starts, ends, doc = word_scores(model, texts[a:b])
         parts.append((scores, starts, ends, doc + a))
     scores, starts, ends, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -212,11 +212,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in textvec.blocks(texts, GROUP_CHARS):
-                langs, score, spans = label_texts(model, texts[a:b], penalty)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, pa.string()), pa.array(score), spans], names=schema.names)
+        for batch in textvec.slices(batches, 1, GROUP_CHARS):
+            langs, score, spans = label_texts(model, [t or "" for t in batch.column(1).to_pylist()], penalty)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score), spans], names=schema.names)
 
     return map_batches(docs.select(id_col, text_col), work, schema)
 
@@ -233,15 +231,12 @@ def train_outside_fold(docs: DataFrame, id_col: str = "doc_id", lang_col: str =
 
 def with_language(docs: DataFrame, model: Model, lang_name: str, score_name: str, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """`docs` with two more columns: the language of the text and its share of the letters, as `identify` gives them."""
-    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
 
-    @F.pandas_udf("lang string, score double")
-    def label(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        held = [t or "" for t in texts]
-        parts = [label_texts(model, held[a:b], penalty)[:2] for a, b in textvec.blocks(held, GROUP_CHARS)]
-        return pd.DataFrame({"lang": [x for langs, _ in parts for x in langs], "score": np.concatenate([s for _, s in parts]) if parts else np.empty(0)})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textvec.slices(batches, at, GROUP_CHARS):
+            langs, score, _ = label_texts(model, [t or "" for t in batch.column(at).to_pylist()], penalty)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
 
-    got = docs.withColumn(lang_name, label(F.col(f"`{text_col}`")))
-    return got.withColumn(score_name, F.col(lang_name)["score"]).withColumn(lang_name, F.col(lang_name)["lang"])
+    return map_batches(docs, work, schema)

@@ -230,7 +230,7 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, en
             kinds = (arrow, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=schema.names)
 
-        for batch in batches:
+        for batch in textvec.slices(batches):
             arrow = batch.column(0).type
             encoder = encoder or Encoder(tokenizer)
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]

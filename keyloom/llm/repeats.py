@@ -164,7 +164,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
     ids: list = []
     texts: list[bytes] = []
     held = 0
-    for batch in batches:
+    for batch in textvec.slices(batches):
         if number < 0 and batch.num_rows:
             number = batch.column(2)[0].as_py() << 24
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

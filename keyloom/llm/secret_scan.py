@@ -17,10 +17,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, ship
+from . import textvec
+from .common import map_batches
 
 # Alphabets and forms of public token formats.
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -130,7 +130,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
-        for batch in batches:
+        for batch in textvec.slices(batches):
             found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(x.as_py() or "", automaton)] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(one))], names=[id_col, "found"])
 
@@ -139,14 +139,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """`docs` with every found span of the text replaced by `mask`; spans that overlap are replaced together."""
-    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf(T.StringType())
-    def clean(texts):  # noqa: ANN001, ANN202
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
-        return texts.map(lambda t: None if t is None else replace(t, [(a, b) for a, _, b in scan(t, automaton)], mask))
+        for batch in textvec.slices(batches, at):
+            texts = [None if t is None else replace(t, [(a, b) for a, _, b in scan(t, automaton)], mask) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.withColumn(text_col, clean(F.col(f"`{text_col}`")))
+    return map_batches(docs, work, docs.schema)
 
 
 def replace(text: str, spans: list[tuple[int, int]], mask: str) -> str:

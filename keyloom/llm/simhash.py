@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import textvec
 from .common import broadcast_if_small, cut, map_batches
 
 BITS = 64
@@ -58,8 +59,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, fp (the fingerprint as a signed long) of every row; a null text has no word, hence fingerprint zero."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known: dict[str, int] = {}  # copies within the batch
+        for batch in textvec.slices(batches):
+            known: dict[str, int] = {}  # copies within the slice
             out = []
             for text in batch.column(1).to_pylist():
                 text = text or ""

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, hence invertible modulo 2**64
 _MASK = (1 << 64) - 1
 _TILE = 1 << 18
@@ -31,6 +33,18 @@ def blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, in
         yield first, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of at most `limit` bytes of text, or one longer text: what Python holds at a time."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            ahead = int(upto[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, ahead + limit, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, each followed by one blank; and where each text starts, plus the total length."""
     cps = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
