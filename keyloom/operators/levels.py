@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keyloom.operators import scan
+
 
 def promotion(counts: DataFrame, n: str, threshold: int) -> DataFrame:
     return counts.withColumn("to_level", F.when(F.col(n) > threshold, "L1").otherwise("L0"))
@@ -30,12 +32,14 @@ def split_ranges(df: DataFrame, n: Column, limit: int, most_depth: int = 24) ->
 
 
 def shard_bounds(df: DataFrame, key: str, shards: int) -> DataFrame:
-    """shard, lo, hi: bounds of `shards` parts of like size of the ordered keys, by exact percentiles of the key."""
-    points = [i / shards for i in range(shards + 1)]
-    cuts = df.agg(F.percentile(key, F.array(*map(F.lit, points))).alias("p")).select(F.posexplode("p").alias("i", "x"))
-    w = Window.orderBy("i")
-    named = cuts.select(F.col("i").cast("long").alias("shard"), F.floor("x").cast("long").alias("lo"), (F.floor(F.lead("x").over(w)).cast("long") - F.when(F.col("i") < shards - 1, 1).otherwise(0)).alias("hi"))
-    return named.filter(F.col("shard") < shards)
+    """shard, lo, hi: bounds of `shards` parts of like size of the ordered, distinct keys; the parts leave no gap."""
+    n = df.count()
+    first = {i * n // shards + 1: i for i in reversed(range(shards))}
+    placed = scan.ranked(df.select(key), key=key).filter(F.col("pos").isin([*first, n]))  # one row per shard, and the last key
+    starts = placed.filter(F.col("pos").isin(list(first))).select(F.element_at(F.create_map(*(F.lit(x) for p, i in first.items() for x in (p, i))), F.col("pos").cast("int")).cast("long").alias("shard"), F.col(key).alias("lo"))
+    top = placed.agg(F.max(key).alias("top"))
+    ends = F.coalesce(F.lead("lo").over(Window.orderBy("shard")) - 1, F.col("top"))
+    return starts.join(F.broadcast(top)).select("shard", "lo", ends.alias("hi"))  # one row
 
 
 def covering_shard(probes: DataFrame, key: str, shards: DataFrame) -> DataFrame:

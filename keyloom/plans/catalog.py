@@ -414,7 +414,8 @@ def shard_split(spark, sf):
     return levels.split_ranges(counts, F.col("n"), 900).select("ks", "lo", "hi")
 
 
-BOUNDS = """b AS (SELECT unnest(range(8)) AS shard, floor(unnest(quantile_cont(o_orderkey::DOUBLE, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])))::BIGINT AS lo FROM orders),
+BOUNDS = """rn AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r, count(*) OVER () AS n FROM orders),
+b AS (SELECT shard, o_orderkey AS lo FROM rn JOIN range(8) s(shard) ON r = shard * n // 8 + 1),
 e AS (SELECT shard, lo, coalesce(lead(lo) OVER (ORDER BY shard) - 1, (SELECT max(o_orderkey) FROM orders)) AS hi FROM b)"""
 
 
