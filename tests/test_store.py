@@ -141,8 +141,8 @@ def test_one_writer_at_a_time(store):
 
 
 def test_settings_stay_with_the_store(store, spark):
-    store.configure(codec="lz4raw", note=1)
+    store.configure(codec="lz4_raw", note=1)
     store.insert("main", b"a" * 8, b"1")
     again = Store(spark, store.root)
-    assert again.config() == {"codec": "lz4raw", "note": 1} and again.name == "db"
+    assert again.config() == {"codec": "lz4_raw", "note": 1} and again.name == "db"
     assert again.get("main", b"a" * 8) == b"1"
