@@ -4,10 +4,11 @@ Two bigram models share their vocabulary, their list of bigrams, their smoothing
 the corpus that they count. The background counts every document; the target counts those that are marked. A text's
 score is the mean over its tokens of the background's loss less the target's.
 
-Words are lower-cased. Word and bigram counts are exact sums over all documents, pre-aggregated per batch and shuffled
-by key, so what is gathered grows with the corpus. The vocabulary is the most frequent words and the bigram list the
-most frequent bigrams of vocabulary words, both by a count threshold that a histogram of counts gives: at most WORDS and
-BIGRAMS entries, whatever the corpus, reach the driver and the workers.
+Words are lower-cased. Words and bigrams met at least twice are entries of both models, all of them, and stay Spark
+tables; a word met once counts as unknown. A text's loss is a sum over its words and bigrams, so an entry is a key and
+what it adds: a word, its loss less the unknown word's; a bigram, its loss less its second word's. The most frequent
+entries, at most HOT, go to the workers; of the others a text's keys and counts are shuffled by key to the table. A
+bitmap of fixed size keeps back most keys that are no entry. Both only save work: results are those of the whole table.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .common import map_batches
-
-WORDS = 50_000
-BIGRAMS = 300_000
+from .common import cut, map_batches
+
+#: words that are joined to bigrams by a broadcast, and entries that go to the workers; the others are shuffled
+HOT_WORDS = 50_000
+HOT = 350_000
+#: bits of the map of the entries that do not go to the workers
+MAP_BITS = 1 << 26
+_CHUNK = 1 << 20
 SHARE = 0.5  # of the bigram estimate against the unigram's
 ALPHA = 0.5
 _STEPS = 8  # histogram cells per doubling of a count
@@ -45,84 +50,124 @@ def _in_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np
         yield a, b, *tokens(texts[a:b])
 
 
-def _sums(keys: np.ndarray, marked: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    got, which = np.unique(keys, return_inverse=True)
-    return pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(np.bincount(which, minlength=len(got))), pa.array(np.bincount(which, weights=marked, minlength=len(got)).astype(np.int64))], names=names)
+def _pair_keys(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each pair of neighbours in a text, and the place of its second word; `_PAIR_KEY` is the same in SQL."""
+    at = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    second = hashes[at]
+    return hashes[at - 1] ^ (second << np.uint64(23) | second >> np.uint64(41)), at
+
+
+_PAIR_KEY = "a ^ (shiftleft(b, 23) | shiftrightunsigned(b, 41))"
 
 
-def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Rows of the highest counts n, at most `most`, by a threshold on n; entries met once are left out."""
+def _sums(keys: np.ndarray, marked: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """One row per distinct key: its values in `columns`, its count and how many of it are marked."""
+    got, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    held = [pa.array(c[first].view(np.int64)) for c in columns]
+    return pa.RecordBatch.from_arrays([*held, pa.array(np.bincount(which, minlength=len(got))), pa.array(np.bincount(which, weights=marked, minlength=len(got)).astype(np.int64))], names=names)
+
+
+def _threshold(counts: DataFrame, most: int) -> int:
+    """The least count n, 2 or more, such that at most `most` rows have it or a higher one, by a histogram."""
     cell = F.floor(F.log2("n") * _STEPS)
-    total, least = 0, 2
+    total = 0
     for r in counts.filter("n > 1").groupBy(cell.alias("cell")).count().orderBy(F.desc("cell")).collect():  # some hundred rows
         total += r["count"]
         if total > most:
-            least = int(np.floor(2 ** ((r["cell"] + 1) / _STEPS))) + 1
-            break
-    return counts.filter(F.col("n") >= least)
-
+            return int(np.floor(2 ** ((r["cell"] + 1) / _STEPS))) + 1
+    return 2
 
-class Models:
-    """Losses of words and bigrams under both models; number 0 stands for all words outside the vocabulary."""
 
-    def __init__(self, words: np.ndarray, word_n: np.ndarray, bigrams: np.ndarray, bigram_n: np.ndarray, totals: np.ndarray) -> None:
-        """words and bigrams: sorted keys; word_n, bigram_n: their counts (background, target); totals: tokens of each."""
-        self.words, self.bigrams = words, bigrams
-        counts = np.concatenate([np.maximum(totals - word_n.sum(axis=0), 0)[None], word_n]).astype(np.float64)
-        size = len(counts)
-        single = (counts + ALPHA) / (totals + ALPHA * size)
-        self.word_loss = -np.log((1 - SHARE) * single)
-        before, after = (bigrams >> np.uint64(24)).astype(np.int64), (bigrams & np.uint64(0xFFFFFF)).astype(np.int64)
-        given = bigram_n / np.maximum(counts[before], 1)
-        self.bigram_loss = -np.log(SHARE * given + (1 - SHARE) * single[after]) if len(bigrams) else np.zeros((0, 2))
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of the map at the given spots, by chunk; all spots of a chunk are in one partition."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        spots = batch.column(0).to_numpy()
+        for chunk in np.unique(spots // _CHUNK).tolist():
+            bits = held.setdefault(chunk, np.zeros(_CHUNK >> 3, dtype=np.uint8))
+            mine = spots[spots // _CHUNK == chunk] - chunk * _CHUNK
+            np.bitwise_or.at(bits, mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["chunk", "bits"])
 
 
-def _numbers(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The number of each word: 1 on in the order of the vocabulary, or 0."""
-    if not len(words):
-        return np.zeros(len(hashes), dtype=np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, at + 1, 0)
+class Table:
+    """Rows in Spark, with their number as length."""
 
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
 
-def _bigram_keys(number: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each pair of neighbours in a text that are both in the vocabulary, and the place of its second word."""
-    at = np.flatnonzero((doc[1:] == doc[:-1]) & (number[1:] > 0) & (number[:-1] > 0)) + 1
-    return number[at - 1].astype(np.uint64) << np.uint64(24) | number[at].astype(np.uint64), at
+    def __len__(self) -> int:
+        return self.rows.count()
 
 
-def train(docs: DataFrame, text: Column, marked: Column, words: int = WORDS, bigrams: int = BIGRAMS) -> Models:
-    """Models of all rows (background) and of those where `marked` is true (target); null texts are empty."""
+class Models:
+    """What words and bigrams add to a text's loss under both models, and the losses of an unknown word."""
+
+    def __init__(self, words: DataFrame, bigrams: DataFrame, unknown: np.ndarray) -> None:
+        """words and bigrams: key, n, background, target, checkpointed; unknown: the losses of an unknown word."""
+        self.words, self.bigrams, self.unknown = Table(words), Table(bigrams), unknown
+        self.entries = words.unionByName(bigrams)
+        hot = _threshold(self.entries, HOT)
+        top = self.entries.filter(F.col("n") >= hot).select("key", "background", "target").toArrow()  # HOT rows at most
+        keys = top["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.hot_keys, self.hot_adds = keys[order], np.stack([top[c].to_numpy()[order] for c in ("background", "target")], axis=1)
+        self.cold = self.entries.filter(F.col("n") < hot).select("key", "background", "target")
+        spots = self.cold.select(F.col("key").bitwiseAND(F.lit(MAP_BITS - 1)).alias("spot"))
+        parts = map_batches(spots.repartition(F.expr(f"spot div {_CHUNK}")), _marked, "chunk long, bits binary").toArrow()  # MAP_BITS in all
+        self.map = np.zeros(MAP_BITS >> 3, dtype=np.uint8)
+        for chunk, bits in zip(parts["chunk"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+            self.map[chunk * _CHUNK >> 3 : (chunk + 1) * _CHUNK >> 3] = np.frombuffer(bits, dtype=np.uint8)
+
+
+def _with_counts(pairs: DataFrame, side: str, words: DataFrame, hot: int) -> DataFrame:
+    """`pairs` whose word `side` is in `words`, with its counts; only words below the count `hot` are shuffled."""
+    named = words.select(F.col("word").alias(side), F.col("n").alias(f"n_{side}"), F.col("t").alias(f"t_{side}"))
+    tried = pairs.join(F.broadcast(named.filter(F.col(f"n_{side}") >= hot)), side, "left")  # HOT_WORDS rows at most
+    rest = tried.filter(F.col(f"n_{side}").isNull()).drop(f"n_{side}", f"t_{side}")
+    return tried.filter(F.col(f"n_{side}").isNotNull()).unionByName(rest.join(named.filter(F.col(f"n_{side}") < hot), side))
+
+
+def train(docs: DataFrame, text: Column, marked: Column, words: int | None = None, bigrams: int | None = None) -> Models:
+    """Models of all rows (background) and of those where `marked` is true (target); null texts are empty.
+
+    Every word and bigram met at least twice is an entry, unless the caller limits them to the most frequent `words` of
+    words or `bigrams` of bigrams.
+    """
     rows = docs.select(F.coalesce(marked, F.lit(False)).alias("marked"), text.alias("text"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textvec.slices(batches):
             target = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
             for a, _, hashes, doc in _in_blocks(batch):
-                yield _sums(hashes, target[a + doc], ["word", "n", "t"])
-
-    counted = map_batches(rows, count_words, "word long, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    counted = counted.persist()  # rows of (word, count): read by the histogram, the totals and the choice
-    totals = counted.agg(F.sum("n"), F.sum("t")).first()
-    chosen = _most_frequent(counted, words).toPandas()
-    counted.unpersist()
-    keys = chosen["word"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    vocabulary, word_n = keys[order], chosen[["n", "t"]].to_numpy(dtype=np.int64)[order]
+                yield _sums(hashes, target[a + doc], [hashes], ["word", "n", "t"])
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textvec.slices(batches):
             target = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
             for a, _, hashes, doc in _in_blocks(batch):
-                pairs, at = _bigram_keys(_numbers(vocabulary, hashes), doc)
-                yield _sums(pairs, target[a + doc[at]], ["pair", "n", "t"])
-
-    pairs = map_batches(rows, count_bigrams, "pair long, n long, t long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).persist()
-    frequent = _most_frequent(pairs, bigrams).toPandas()
-    pairs.unpersist()
-    pair_keys = frequent["pair"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(pair_keys)
-    return Models(vocabulary, word_n, pair_keys[order], frequent[["n", "t"]].to_numpy(dtype=np.int64)[order], np.array([totals[0] or 0, totals[1] or 0], dtype=np.float64))
+                pairs, at = _pair_keys(hashes, doc)
+                yield _sums(pairs, target[a + doc[at]], [hashes[at - 1], hashes[at]], ["a", "b", "n", "t"])
+
+    sums = F.sum("n").alias("n"), F.sum("t").alias("t")
+    counted = cut(map_batches(rows, count_words, "word long, n long, t long").groupBy("word").agg(*sums))
+    known = counted.filter(F.col("n") >= (2 if words is None else _threshold(counted, words)))
+    totals = np.array([x or 0 for x in counted.agg(F.sum("n"), F.sum("t")).first()], dtype=np.float64)
+    *inside, size = (x or 0 for x in known.agg(F.sum("n"), F.sum("t"), F.count(F.lit(1))).first())
+    below = totals + ALPHA * (size + 1)
+    single = lambda n, k: (F.col(n) + ALPHA) / float(below[k])
+    unknown = -np.log((1 - SHARE) * (np.maximum(totals - np.array(inside), 0) + ALPHA) / below)
+    word_loss = lambda n, k: -F.log((1 - SHARE) * single(n, k))
+    word_rows = known.select(F.col("word").alias("key"), "n", *((word_loss(n, k) - float(unknown[k])).alias(c) for k, (n, c) in enumerate((("n", "background"), ("t", "target")))))
+
+    pairs = cut(map_batches(rows, count_bigrams, "a long, b long, n long, t long").groupBy("a", "b").agg(*sums).filter("n > 1"))
+    hot = _threshold(known, HOT_WORDS)
+    full = _with_counts(_with_counts(pairs, "a", known, hot), "b", known, hot)
+    given = lambda n: F.col(n) / F.greatest(F.col(f"{n}_a"), F.lit(1))
+    pair_loss = lambda n, k: -F.log(SHARE * given(n) + (1 - SHARE) * single(f"{n}_b", k))
+    pair_rows = cut(full.select(F.expr(_PAIR_KEY).alias("key"), "n", *((pair_loss(n, k) - word_loss(f"{n}_b", k)).alias(c) for k, (n, c) in enumerate((("n", "background"), ("t", "target"))))))
+    return Models(word_rows, pair_rows if bigrams is None else pair_rows.filter(F.col("n") >= _threshold(pair_rows, bigrams)), unknown)
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,20 +177,38 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     uniform. Null ids and repeated rows are rows like others, an empty table gives an empty result, other columns are
     ignored.
     """
-    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("loss_background", "loss_target", "score"))])
+    fields = [("row", T.LongType()), ("id", docs.schema[id_col].dataType), ("n", T.LongType()), ("background", T.DoubleType()), ("target", T.DoubleType()), ("keys", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.IntegerType()))]
+    hot_keys, hot_adds, marks, unknown = models.hot_keys, models.hot_adds, models.map, models.unknown
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textvec.slices(batches):
             for a, b, hashes, doc in _in_blocks(batch):
-                number = _numbers(models.words, hashes)
-                loss = models.word_loss[number]
-                pairs, at = _bigram_keys(number, doc)
-                if len(models.bigrams):
-                    place = np.minimum(np.searchsorted(models.bigrams, pairs), len(models.bigrams) - 1)
-                    known = models.bigrams[place] == pairs
-                    loss[at[known]] = models.bigram_loss[place[known]]
+                pairs, at = _pair_keys(hashes, doc)
                 n = np.bincount(doc, minlength=b - a)
-                means = [np.bincount(doc, weights=loss[:, k], minlength=b - a) / np.maximum(n, 1) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], names=schema.names)
-
-    return map_batches(docs.select(id_col, text_col), work, schema)
+                losses = n[:, None] * unknown
+                keys, of = np.concatenate([hashes, pairs]), np.concatenate([doc, doc[at]])
+                if len(hot_keys):
+                    place = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
+                    known = hot_keys[place] == keys
+                    for k in (0, 1):
+                        losses[:, k] += np.bincount(of[known], weights=hot_adds[place[known], k], minlength=b - a)
+                    keys, of = keys[~known], of[~known]
+                spot = keys & np.uint64(MAP_BITS - 1)
+                may = (marks[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                keys, of = keys[may], of[may]
+                order = np.lexsort((keys, of))
+                keys, of = keys[order], of[order]
+                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])) if len(keys) else np.zeros(0, dtype=np.int64)
+                ends = pa.array(np.searchsorted(of[first], np.arange(b - a + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (keys[first].view(np.int64), np.diff(np.append(first, len(keys))).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a), pa.array(n), pa.array(losses[:, 0].copy()), pa.array(losses[:, 1].copy()), *lists], names=[c for c, _ in fields])
+
+    numbered = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("row"))
+    held = cut(map_batches(numbered, work, T.StructType([T.StructField(c, t) for c, t in fields])))
+    asked = held.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
+    # a key among these is rare, so that no task gets many rows of one
+    more = asked.join(models.cold, "key").groupBy("row").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("background", "target")))
+    loss = lambda c: (F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0))) / F.greatest("n", F.lit(1))
+    out = held.select("row", "id", "n", "background", "target").join(more, "row", "left")
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), loss("background").alias("loss_background"), loss("target").alias("loss_target"))
+    return out.withColumn("score", F.col("loss_background") - F.col("loss_target"))

@@ -69,3 +69,20 @@ def test_odd_and_empty(odd, none):
     out = S.score(odd, models).collect()
     assert len(out) == odd.count() and all(r["score"] == 0 for r in out if not r["n_tokens"])
     assert S.score(none, S.train(none, F.col("text"), F.lit(None).cast("boolean"))).collect() == []
+
+
+def test_no_word_or_bigram_is_left_out(spark, monkeypatch):
+    """More words of one count than the workers may hold: none is left out, the rest go by the table."""
+    texts = [" ".join(f"w{(i * 7 + k) % 60_000}" for k in range(3000)) for i in range(0, 8700, 217)]
+    texts += texts[:3] + [" ".join(f"w{k}" for k in range(60_000))] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = brute([(i % 3 == 0, t) for i, t in enumerate(texts)])
+    for hot, words in ((S.HOT, S.HOT_WORDS), (500, 100), (0, 0)):
+        monkeypatch.setattr(S, "HOT", hot)
+        monkeypatch.setattr(S, "HOT_WORDS", words)
+        models = S.train(df, F.col("text"), F.col("doc_id") % 3 == 0)
+        assert len(models.words) == 60_000 and len(models.bigrams) >= 59_999
+        got = {r["doc_id"]: r for r in S.score(df, models).collect()}
+        for i, (n, background, target) in enumerate(want):
+            assert got[i]["n_tokens"] == n
+            assert got[i]["loss_background"] == pytest.approx(background, abs=1e-9) and got[i]["loss_target"] == pytest.approx(target, abs=1e-9)
