@@ -2,11 +2,12 @@
 
 A tree gives every vector a string of 64 bits, the signs of its projections on random directions through the mean of
 the unit vectors, and keeps the rows sorted by it. A query stands in that order itself: next to it are the rows with
-the longest common prefix, and going outwards on both sides meets rows with ever shorter ones. The trees ascend in
-step: each goes up until it has passed the same number of rows, those of longer prefix first. A tree scores what it
-has passed against the query, exactly and in double precision, and hands on the best few.
+the longest common prefix, and going outwards on both sides meets rows with ever shorter ones. Every tree passes the
+same number of rows on either side, scores them against the query, exactly and in double precision, and hands on the
+best few.
 
-A tree's order is a range partitioning over the cluster, so no task holds a tree. Equal strings are ordered by a
+A tree's order is a range partitioning over the cluster, so no task holds a tree; places in a tree come from the
+partitions and their counts, and a query goes to every partition that its walk overlaps. Equal strings are ordered by a
 projection and the id, so that a crowd of like vectors is split too. Equal vectors are taken together before, with
 their smallest ids, as only those can be among the nearest.
 """
@@ -25,10 +26,12 @@ from pyspark.sql.window import Window
 from .common import cut, map_batches
 
 TREES = 32
-#: rows that a tree passes for a query: a share of all rows, and so many at least
+#: rows that a tree passes for a query on either side: a share of all rows, and so many at least
 SHARE = 1 / 40
 LEAST = 512
 BITS = 64
+#: rows of a partition of the trees, about
+PART_ROWS = 20_000
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -76,42 +79,54 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _ascend(passed: int, keep: int):  # noqa: ANN202
-    """Over rows sorted by (dim, tree, h, p, id): the best `keep` rows that each query passes in its tree."""
+    """Over rows and queries sorted by (part, dim, tree, asked, place): the best `keep` rows of a part that each query passes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         whole = pa.Table.from_batches(held)
-        dim, tree, h, ids = (whole.column(c).to_numpy() for c in ("dim", "tree", "h", "id"))
-        asks = whole.column("asks").to_numpy(zero_copy_only=False)
+        part, dim, tree, place, ids = (whole.column(c).to_numpy() for c in ("part", "dim", "tree", "place", "id"))
+        asked = whole.column("asked").to_numpy(zero_copy_only=False)
         blobs = whole.column("v").to_pylist()
-        string = h.view(np.uint64)
-        edges = np.flatnonzero(np.concatenate([[True], (dim[1:] != dim[:-1]) | (tree[1:] != tree[:-1]), [True]]))
+        edges = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (dim[1:] != dim[:-1]) | (tree[1:] != tree[:-1]), [True]]))
         q_out, c_out, s_out = [], [], []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            x = np.frombuffer(b"".join(blobs[a:b]), dtype=np.float64).reshape(b - a, -1)
+            c = a + int(np.searchsorted(asked[a:b], True))  # rows, then queries
+            x = np.frombuffer(b"".join(blobs[a:c]), dtype=np.float64).reshape(c - a, -1)
             norms = np.linalg.norm(x, axis=1)
-            for i in np.flatnonzero(asks[a:b]).tolist():
-                lo, hi = max(0, i - passed), min(b - a, i + passed + 1)
-                near = np.arange(lo, hi)
-                if len(near) > passed + 1:  # the longest common prefixes on either side
-                    far = string[a + lo : a + hi] ^ string[a + i]
-                    near = lo + np.argpartition(far, passed)[: passed + 1]
-                near = near[near != i]
-                if not len(near):
-                    continue
-                guess = (x[near] @ x[i]) / norms[near]
-                best = near[np.argpartition(-guess, min(keep, len(near)) - 1)[:keep]] if len(near) > keep else near
-                q_out.append(np.full(len(best), ids[a + i]))
+            for i in range(c, b):
+                lo, hi = np.searchsorted(place[a:c], (place[i] - passed, place[i] + passed + 1)).tolist()
+                y = np.frombuffer(blobs[i], dtype=np.float64)
+                guess = (x[lo:hi] @ y) / norms[lo:hi]
+                if lo <= place[i] - place[a] < hi:
+                    guess[place[i] - place[a] - lo] = -np.inf  # the query itself
+                best = lo + (np.argpartition(-guess, keep - 1)[:keep] if hi - lo > keep else np.arange(hi - lo))
+                best = best[place[a + best] != place[i]]
+                q_out.append(np.full(len(best), ids[i]))
                 c_out.append(ids[a + best])
-                s_out.append(cosine(x[best], np.broadcast_to(x[i], (len(best), x.shape[1]))))
+                s_out.append(cosine(x[best], np.broadcast_to(y, (len(best), len(y)))))
         if q_out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (q_out, c_out, s_out)], names=["q", "c", "score"])
 
     return work
 
 
+def _walks(ordered: DataFrame, passed: int) -> DataFrame:
+    """Rows of the trees with their places, and each query once for every part of its tree that its walk overlaps.
+
+    ordered: rows sorted by (dim, tree, h, p, id) over the parts in order, each with its part and its row there.
+    """
+    tree = Window.partitionBy("dim", "tree").orderBy("part")
+    runs = ordered.groupBy("dim", "tree", "part").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("first_row"))
+    runs = cut(runs.withColumn("ahead", F.sum("size").over(tree) - F.col("size")))  # a row per part and tree in it
+    placed = ordered.join(F.broadcast(runs), ["dim", "tree", "part"]).withColumn("place", F.col("row") - F.col("first_row") + F.col("ahead"))
+    names = ["part", "dim", "tree", "asked", "place", "id", "v"]
+    asking = placed.filter("asks").select("dim", "tree", "place", "id", "v", F.lit(True).alias("asked"))
+    met = (F.col("ahead") <= F.col("place") + passed) & (F.col("ahead") + F.col("size") > F.col("place") - passed)
+    return placed.withColumn("asked", F.lit(False)).select(names).unionByName(asking.join(F.broadcast(runs), ["dim", "tree"]).filter(met).select(names))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, share: float = SHARE, least: int = LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row that `is_query` (of column `id`) selects.
 
@@ -135,9 +150,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES
     schema = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("tree", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("p", T.DoubleType()), T.StructField("id", T.LongType()), T.StructField("asks", T.BooleanType()), T.StructField("v", T.BinaryType())])
     order = ["dim", "tree", "h", "p", "id"]
     passed = max(least, int(n * share))
-    parts = max(trees, n * trees // 20_000)
+    parts = max(trees, n * trees // PART_ROWS)
     strings = map_batches(one.withColumn("id", F.col("id").cast("long")), _strings(trees, means, schema), schema)
-    found = map_batches(strings.repartitionByRange(parts, *order).sortWithinPartitions(*order), _ascend(passed, k), "q long, c long, score double")
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = cut(strings.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("dim", "tree", "id", "asks", "v", F.spark_partition_id().alias("part"), at.alias("row")))
+    walks = _walks(ordered, passed).repartition(parts, "part").sortWithinPartitions("part", "dim", "tree", "asked", "place")
+    found = map_batches(walks, _ascend(passed, k), "q long, c long, score double")
     best = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     best = best.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("nth") <= k)
     itself = one.filter("asks").select(F.col("id").alias("q"), F.col("id").alias("c"), F.lit(None).cast("double").alias("score"))

@@ -57,3 +57,18 @@ def test_vectors_that_take_no_part(spark):
 
 def test_empty(spark):
     assert answers(spark.createDataFrame([], "vec_id long, embedding array<float>")) == {}
+
+
+def test_a_walk_goes_over_partitions(spark):
+    """One tree of three partitions and a walk over all rows: the answer is exact."""
+    x = np.random.default_rng(5).normal(size=(60_000, 4))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in N.nearest(df, F.col("id") % 5000 == 0, trees=1, least=60_000).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(got) == list(range(0, 60_000, 5000))
+    for q, near in got.items():
+        score = unit @ unit[q]
+        score[q] = -2
+        assert [i for _, i in sorted(near)] == np.argsort(-score)[:5].tolist()
