@@ -1,25 +1,24 @@
 """Removal of byte strings that repeat across documents: every byte under a 50-byte string that an earlier one has too.
 
 A window is 50 consecutive bytes of a document. Its anchor is the smallest (by hash) of its 12-byte strings, so equal
-windows have equal anchors at equal places. Strings that very many documents have, by a sample, count as larger than all
-others: they are anchors only where a window has nothing else, so a common line does not bring all its surroundings to
-one task. Any list of such strings gives the same result; the sample only says which lists help. Neighbouring windows share an anchor; the bytes under them are a context,
-some 70 bytes for some 20 windows. A block of documents sends each distinct context once, with the smallest id that
-has it, to the task that the anchor's hash names; copies inside a block, however many, travel once. That task
-
-1. joins equal contexts, by the prefix-polynomial hash of their bytes, and checks the bytes;
-2. where an anchor has several contexts, sorts their windows by prefix-polynomial hash of their 50 bytes, checks each
-   window's bytes against the first of its class (a class that fails is split by its bytes), and finds the smallest id
-   of each class;
-3. answers each block with one bit per window: whether a smaller id has it.
-
-The answers meet the blocks' texts again, and each document's bytes are cut. Blocks, contexts and answers are bytes in
-rows; Spark shuffles, spills and retries them. No step holds more than a block, or one task's share of contexts.
+windows have equal anchors at equal places. A window reaches at least 19 bytes beyond its anchor to the right, or else
+to the left: that side and the anchor, 31 bytes, are its key. Windows in a row with one anchor and one side are a part,
+some 60 bytes for some 10 windows. Three exchanges over blocks of documents follow; each covers all documents:
+
+1. every block sends the hashes of its parts' keys, and learns which keys another document has too;
+2. only parts whose key is shared are sent, with the places where they occur; where they meet, equal parts are joined,
+   and the others' suffixes are sorted: a merge sort, group by group, in which two suffixes are compared by a binary
+   search for their common extension over prefix-polynomial hashes; every order and every equality that follows is then
+   checked on the bytes. Suffixes that agree over 50 bytes are one string; the smallest id that has it keeps it;
+3. the stretches to remove come back to their block, and the documents are cut.
+
+A key that very many different parts share (a common line in ever new surroundings) is hot: its parts are sent window
+by window, each to where the hash of its own 50 bytes says, so no task gets them all. Counts and hot keys come from all
+documents. Equal parts of one block travel once.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import blocks as B
 from . import textvec
-from .common import cut, map_batches
 
 LENGTH = 50
 ANCHOR = 12
-BLOCK_BYTES = 6_000_000
-#: bytes of text for each task that compares contexts
-TASK_BYTES = 3_000_000
+#: bytes that a key has beside its anchor; every window has as many on one side of it at least
+SIDE = (LENGTH - ANCHOR) // 2
+#: different parts of a key beyond which they travel window by window
+HOT = 10_000
 _CHUNK = 1 << 20
-#: documents sampled for strings in very many documents, and the share of them that makes a string one
-SAMPLE = 10_000
-COMMON = 0.01
-_NONE = np.empty(0, dtype=np.uint64)
+_KEY_BITS = 40
+_RIGHT, _LEFT, _WINDOW = 0, 1, 2
+_BASE = 0x9E3779B97F4A7C15
+_LONGEST = 128
+_UP = np.array([pow(_BASE, i, 1 << 64) for i in range(_LONGEST)], dtype=np.uint64)
+_DOWN = np.array([pow(_BASE, -i, 1 << 64) for i in range(_LONGEST)], dtype=np.uint64)
 
 
 def _words_at(buf: np.ndarray) -> np.ndarray:
@@ -52,50 +54,48 @@ def _mix(a: np.ndarray) -> np.ndarray:
     a = a ^ (a >> np.uint64(31))
     a *= np.uint64(0xBF58476D1CE4E5B9)
     a ^= a >> np.uint64(29)
-    a *= np.uint64(0x94D049BB133111EB)
-    return a ^ (a >> np.uint64(32))
+    return a
 
 
-def anchor_hashes(buf: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
-    """Hash of the ANCHOR (9 to 16) bytes from each position."""
-    eight = _words_at(buf)
-    tail = np.ndarray(shape=(len(buf) - 8 - (ANCHOR - 8),), dtype="<u8", buffer=buf[ANCHOR - 8 :], strides=(1,))
-    return _mix(eight[at] * np.uint64(0x9E3779B97F4A7C15) + _mix(tail[at].copy()))
-
+def _order(buf: np.ndarray, at: slice) -> np.ndarray:
+    """40 bits by which anchors are ordered, shifted up by 24: a hash of the ANCHOR (9 to 16) bytes from each position."""
+    h = _words_at(buf)[at] * np.uint64(_BASE)
+    tail = np.ndarray(shape=(len(buf) - 8 - (ANCHOR - 8),), dtype="<u8", buffer=buf[ANCHOR - 8 :], strides=(1,))[at] * np.uint64(0xD6E8FEB86659FD93)
+    h ^= tail >> np.uint64(32)
+    h += tail
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h &= np.uint64(((1 << 40) - 1) << 24)
+    return h
 
-def _order(buf: np.ndarray, at: slice, common: np.ndarray) -> np.ndarray:
-    """40 bits by which anchors are ordered, shifted up by 24: a bit for common strings, then the hash's first 39."""
-    h = anchor_hashes(buf, at) >> np.uint64(24)
-    key = h >> np.uint64(1)
-    if len(common):
-        key[_is_listed(h, common)] |= np.uint64(1 << 39)
-    return key << np.uint64(24)
 
-
-def find_contexts(buf: np.ndarray, doc_starts: np.ndarray, length: int = LENGTH, common: np.ndarray = _NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window start, last window start and anchor position of each context, in order; texts do not mix.
+def find_contexts(buf: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window start, last window start and anchor position of each run of windows with one anchor; texts do not mix.
 
     `buf` holds the texts end to end, then at least 24 bytes of padding.
     """
-    n_kmers = length - ANCHOR + 1
+    n_kmers = LENGTH - ANCHOR + 1
     total = int(doc_starts[-1])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     blocked = np.zeros(total + 1, dtype=np.int8)  # windows that would leave their text
     ends = doc_starts[1:]
-    np.add.at(blocked, np.maximum(doc_starts[:-1], ends - length + 1), 1)
-    np.add.at(blocked, ends, -1)
-    free = np.cumsum(blocked[:-1], dtype=np.int32) == 0
+    step = np.zeros(total + 1, dtype=np.int32)
+    np.add.at(step, np.maximum(doc_starts[:-1], ends - LENGTH + 1), 1)
+    np.add.at(step, ends, -1)
+    blocked = np.cumsum(step[:-1], dtype=np.int32) > 0
+    del step
     for c in range(0, total, _CHUNK):
         last = min(total, c + _CHUNK)
         stop = min(total + 4, last + n_kmers + 4)
-        key = _order(buf, slice(c, stop), common) | np.arange(stop - c, dtype=np.uint64)
+        key = _order(buf, slice(c, stop))
+        key |= np.arange(stop - c, dtype=np.uint64)
         span = 1
         while span * 2 <= n_kmers:
             key = np.minimum(key[:-span], key[span:])
             span *= 2
         if span < n_kmers:
             key = np.minimum(key[: -(n_kmers - span)], key[n_kmers - span :])
-        at = np.flatnonzero(free[c:last])
+        at = np.flatnonzero(~blocked[c:last])
         at = at[at < len(key)]
         if not len(at):
             continue
@@ -112,364 +112,394 @@ def find_contexts(buf: np.ndarray, doc_starts: np.ndarray, length: int = LENGTH,
     return a, b, p
 
 
-class Block:
-    """Some documents, their contexts, and the distinct ones among these, in the order (bucket, hash)."""
-
-    def __init__(self, ids: list[int], texts: list[bytes], buckets: int, common: np.ndarray = _NONE) -> None:
-        self.ids = np.array(ids, dtype=np.int64)
-        self.starts = np.zeros(len(texts) + 1, dtype=np.int64)
-        np.cumsum([len(t) for t in texts], out=self.starts[1:])
-        self.buf = np.frombuffer(b"".join(texts) + bytes(64), dtype=np.uint8)
-        self.first, self.last, anchor = find_contexts(self.buf, self.starts, common=common)
-        doc = self.ids[np.searchsorted(self.starts, self.first, side="right") - 1]
-        self.doc = doc
-        ends = self.last + LENGTH
-        hashes = textvec.span_hashes(self.buf, self.first, ends)
-        order = np.lexsort((doc, hashes))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = hashes[order][1:] != hashes[order][:-1]
-        leader = order[new]  # of each distinct context the occurrence with the smallest id
-        which = np.empty(len(order), dtype=np.int64)
-        which[order] = np.cumsum(new) - 1
-        bucket = (anchor_hashes(self.buf, anchor[leader]) % np.uint64(buckets)).astype(np.int64)
-        rank = np.argsort(bucket, kind="stable")
-        back = np.empty(len(rank), dtype=np.int64)
-        back[rank] = np.arange(len(rank))
-        self.leader, self.bucket = leader[rank], bucket[rank]
-        self.which = back[which] if len(which) else which
-        # equal hashes must mean equal bytes: occurrences that differ from their leader are set apart and kept whole
-        self.true = self._same_as_leader()
-        self.anchor = anchor
-        self.least = doc[self.leader]
-
-    def _same_as_leader(self) -> np.ndarray:
-        eight = _words_at(self.buf)
-        mine, other = self.first, self.first[self.leader][self.which] if len(self.which) else self.first
-        size, size_other = self.last - self.first, (self.last - self.first)[self.leader][self.which] if len(self.which) else self.first
-        same = size == size_other
-        for at in range(0, LENGTH - 8, 8):
-            same &= eight[mine + at] == eight[other + at]
-        for back in range(0, 48, 8):  # and from the end, which reaches back over contexts of any length
-            a = mine + np.maximum(size + LENGTH - 8 - back, 0)
-            same &= eight[a] == eight[other + np.maximum(size + LENGTH - 8 - back, 0)]
-        return same
-
-    def fingerprint(self) -> int:
-        return int.from_bytes(hashlib.blake2b(self.ids.tobytes() + self.starts.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(number, ids, texts) of the blocks of a partition, whose own number is the third column."""
-    number = -1
-    ids: list = []
-    texts: list[bytes] = []
-    held = 0
-    for batch in textvec.slices(batches):
-        if number < 0 and batch.num_rows:
-            number = batch.column(2)[0].as_py() << 24
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = (t or "").encode("utf-8", "surrogatepass")
-            if held and held + len(text) > most:
-                yield number, ids, texts
-                number, ids, texts, held = number + 1, [], [], 0
-            ids.append(i)
-            texts.append(text)
-            held += len(text)
-    if ids:
-        yield number, ids, texts
-
-
-def _known(ids: list, texts: list[bytes]) -> tuple[list[int], list[bytes]]:
-    """Documents that take part: those with an id."""
-    pairs = [(i, t) for i, t in zip(ids, texts, strict=True) if i is not None]
-    return [i for i, _ in pairs], [t for _, t in pairs]
-
-
-def _is_listed(h: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    """Positions of `h` (40-bit hashes) whose hash is in the sorted list; a table of first bits spares most lookups."""
-    table = np.zeros(1 << 16, dtype=bool)
-    table[(listed >> np.uint64(24)).astype(np.int64)] = True
-    some = np.flatnonzero(table[(h >> np.uint64(24)).astype(np.int64)])
-    return some[listed[np.minimum(np.searchsorted(listed, h[some]), len(listed) - 1)] == h[some]]
-
-
-def common_strings(rows: DataFrame, n_rows: int, block_bytes: int = BLOCK_BYTES, sample: int = SAMPLE, share: float = COMMON) -> np.ndarray:
-    """Hashes (40 bits, sorted) of ANCHOR-byte strings that at least `share` of about `sample` documents have.
-
-    First the anchors are counted, then all strings near the common ones. A text of n bytes has under n strings, so at
-    most n/share of them, for the mean n of the sample, come to the driver.
+def key_hashes(buf: np.ndarray, at: np.ndarray, length: int = SIDE + ANCHOR) -> np.ndarray:
+    """Hash of `length` (17 or more) bytes from each position, from all its 8-byte words."""
+    eight = _words_at(buf)
+    h = np.full(len(at), length, dtype=np.uint64)
+    for k in (*range(0, length - 8, 8), length - 8):
+        h = _mix((h ^ eight[at + k]) * np.uint64(_BASE))
+    return _mix(h * np.uint64(0x94D049BB133111EB))
+
+
+class Parts:
+    """The parts of some documents: kind, first and last window start, anchor, index of the document, and hash of the key."""
+
+    def __init__(self, ids: list, texts: list[bytes]) -> None:
+        known = [(i, t) for i, t in zip(ids, texts, strict=True) if i is not None]
+        self.ids = np.array([i for i, _ in known], dtype=np.int64)
+        self.starts = np.zeros(len(known) + 1, dtype=np.int64)
+        np.cumsum([len(t) for _, t in known], out=self.starts[1:])
+        self.buf = np.frombuffer(b"".join(t for _, t in known) + bytes(64), dtype=np.uint8)
+        first, last, anchor = find_contexts(self.buf, self.starts)
+        right, left = anchor - last <= SIDE, anchor - first > SIDE
+        self.kind = np.concatenate([np.full(right.sum(), _RIGHT, dtype=np.uint8), np.full(left.sum(), _LEFT, dtype=np.uint8)])
+        self.first = np.concatenate([np.maximum(first, anchor - SIDE)[right], first[left]])
+        self.last = np.concatenate([last[right], np.minimum(last, anchor - SIDE - 1)[left]])
+        self.anchor = np.concatenate([anchor[right], anchor[left]])
+        self.key = key_hashes(self.buf, self.anchor - np.where(self.kind == _LEFT, SIDE, 0)) ^ self.kind
+        self.id = self.ids[np.searchsorted(self.starts, self.first, side="right") - 1]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, and of each its least id and greatest id."""
+        order = np.argsort(self.key)
+        k, i = self.key[order], self.id[order]
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, dtype=np.int64)
+        if not len(begin):
+            return k, i, i
+        return k[begin], np.minimum.reduceat(i, begin), np.maximum.reduceat(i, begin)
+
+    def different(self, keys: np.ndarray) -> np.ndarray:
+        """How many different parts each of the keys has; by a hash, as this only steers."""
+        whole = _mix(self.key + (self.last - self.first).astype(np.uint64)) ^ key_hashes(self.buf, np.where(self.kind == _RIGHT, self.first, self.last + LENGTH - SIDE - ANCHOR)) ^ key_hashes(self.buf, np.where(self.kind == _RIGHT, self.last + LENGTH - SIDE - ANCHOR, self.first))
+        _, at = np.unique(whole, return_index=True)
+        return np.bincount(np.searchsorted(keys, self.key[at]), minlength=len(keys))
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the keys by (bucket, what is left of the key), and the edges of the buckets that occur."""
+    bucket, rest = keys % np.uint64(buckets), keys // np.uint64(buckets) & np.uint64((1 << _KEY_BITS) - 1)
+    order = np.lexsort((rest, bucket))
+    b = bucket[order]
+    edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else np.zeros(1, dtype=np.int64)
+    return order, edges, rest[order]
+
+
+def _say_keys(buckets: int):  # noqa: ANN202
+    def say(number: int, texts: tuple) -> list[tuple[int, bytes]]:
+        parts = Parts(*texts[:2])
+        keys, low, high = parts.keys()
+        order, edges, rest = _by_bucket(keys, buckets)
+        many, n = (low < high)[order], parts.different(keys)[order]
+        out = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            more = np.flatnonzero(n[a:b] > 1).astype(np.int32)
+            out.append((int(keys[order[a]] % np.uint64(buckets)), B.pack(B.planes(rest[a:b]), np.packbits(many[a:b]).tobytes(), more.tobytes(), n[a:b][more].astype(np.int32).tobytes())))
+        return out
+
+    return say
+
+
+def _match_keys(hot: int):  # noqa: ANN202
+    """For each key of each block: 0 if no other document has it, 1 if one has, 2 if the key is hot."""
+
+    def reply(bodies: list[bytes]) -> list[bytes]:
+        keys, many, counts, sizes = [], [], [], []
+        for body in bodies:
+            raw, bits, more, n = B.unpack(body)
+            k = B.from_planes(raw)
+            c = np.ones(len(k), dtype=np.int64)
+            c[np.frombuffer(more, np.int32)] = np.frombuffer(n, np.int32)
+            keys.append(k)
+            many.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(k)).astype(bool))
+            counts.append(c)
+            sizes.append(len(k))
+        whole = np.concatenate(keys)
+        order = np.argsort(whole, kind="stable")  # keys come sorted from each block
+        k = whole[order]
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        length = np.diff(np.append(begin, len(k)))
+        shared = (length > 1) | np.logical_or.reduceat(np.concatenate(many)[order], begin)
+        verdict = np.empty(len(k), dtype=np.uint8)
+        verdict[order] = np.repeat(shared.astype(np.uint8) + (shared & (np.add.reduceat(np.concatenate(counts)[order], begin) > hot)), length)
+        edges = np.cumsum([0, *sizes])
+        return [B.pack(verdict[a:b].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+    return reply
+
+
+def _same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether `length` bytes (8 at least, _LONGEST at most) from a and from b agree."""
+    eight = _words_at(buf)
+    same = np.ones(len(a), dtype=bool)
+    for k in range(0, _LONGEST, 8):
+        at = np.minimum(k, length - 8)
+        same &= eight[a + at] == eight[b + at]
+        if k and (at < k).all():
+            break
+    return same
+
+
+def _leaders(buf: np.ndarray, first: np.ndarray, length: np.ndarray, kind: np.ndarray, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each stretch the one that stands for it: an equal one of the same kind and place with the least id; bytes are checked.
+
+    A stretch whose hash equals that of others with other bytes stands for itself.
     """
-    rate = int(min(1.0, sample / max(n_rows, 1)) * (1 << 20))
-    picked = cut(rows.filter((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate) & F.col("id").isNotNull()))
-    least = max(20, int(share * min(sample, n_rows)))
-
-    def count(near: np.ndarray):  # noqa: ANN202
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, _, texts in _blocks(batches, block_bytes):
-                starts = np.zeros(len(texts) + 1, dtype=np.int64)
-                np.cumsum([len(t) for t in texts], out=starts[1:])
-                buf = np.frombuffer(b"".join(texts) + bytes(64), dtype=np.uint8)
-                h = anchor_hashes(buf, slice(0, int(starts[-1]))) >> np.uint64(24)
-                if len(near):
-                    reach = np.arange(1 - LENGTH, LENGTH)
-                    at = np.unique((_is_listed(h, near)[:, None] + reach).ravel())
-                    at = at[(at >= 0) & (at < len(h))]
-                else:
-                    _, _, at = find_contexts(buf, starts)
-                if len(at):
-                    doc = np.searchsorted(starts, at, side="right")
-                    order = np.lexsort((doc, h[at]))
-                    k, d = h[at][order], doc[order]
-                    once = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
-                    got, n = np.unique(k[once], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-        counted = map_batches(picked, work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        return np.sort(np.array([r["h"] for r in counted.select("h").collect()], dtype=np.uint64))
-
-    anchors = count(_NONE)
-    return count(anchors) if len(anchors) else anchors
-
-
-def _send(buckets: int, block_bytes: int, common: np.ndarray):  # noqa: ANN202
-    """Rows (to, block, mark, body): for each block and bucket its distinct contexts, or rows (block, block, 0, texts)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3)
-        for number, ids, texts in _blocks(batches, block_bytes):
-            block = Block(*_known(ids, texts), buckets, common)
-            edges = np.flatnonzero(np.concatenate([[True], block.bucket[1:] != block.bucket[:-1], [True]])) if len(block.bucket) else np.zeros(1, dtype=np.int64)
-            first, last = block.first[block.leader], block.last[block.leader]
-            sizes = (last - first).astype(np.uint8)
-            place = (block.anchor[block.leader] - first).astype(np.uint8)
-            to, body = [], []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                n = sizes[a:b].astype(np.int64) + LENGTH
-                at = np.repeat(first[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                head = (b - a).to_bytes(8, "little") + sizes[a:b].tobytes() + place[a:b].tobytes() + block.least[a:b].tobytes()
-                to.append(int(block.bucket[a]))
-                body.append(pack.compress(head + block.buf[at].tobytes()))
-            if to:
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([number] * len(to), pa.int64()), pa.array([block.fingerprint()] * len(to), pa.int64()), pa.array(body, pa.binary())], names=["to", "block", "mark", "body"])
-
-    return work
-
-
-def _texts(block_bytes: int):  # noqa: ANN202
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3)
-        for number, ids, texts in _blocks(batches, block_bytes):
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([number], pa.int64()), pa.array([0], pa.int64()), pa.array([pack.compress(pickle.dumps((ids, texts), 5))], pa.binary())], names=["to", "block", "mark", "body"])
-
-    return work
-
-
-def window_classes(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the windows at `at`, and where in it a class of equal windows begins."""
-    hashes = textvec.span_hashes(buf, at, at + LENGTH)
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = h[1:] != h[:-1]
+    h = _mix(key_hashes_of(buf, first, length) + (kind.astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64))
+    order = np.lexsort((ids, h))
+    k = h[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    fine = (length[order] == length[lead]) & (kind[order] == kind[lead]) & (place[order] == place[lead])
+    fine &= _same_bytes(buf, first[order], first[lead], np.minimum(length[order], length[lead]))
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.where(fine, lead, order)
+    return out
+
+
+def key_hashes_of(buf: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of stretches of LENGTH to _LONGEST bytes: from their length and the 8-byte words that cover them."""
     eight = _words_at(buf)
-    mine = at[order]
-    leader = mine[np.flatnonzero(new)][np.cumsum(new) - 1]
-    same = np.ones(len(order), dtype=bool)
-    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-        same &= eight[mine + k] == eight[leader + k]
-    if not same.all():  # a collision: order those classes by their bytes
-        group = np.cumsum(new) - 1
-        for g in np.unique(group[~same]).tolist():
-            where = np.flatnonzero(group == g)
-            raw = sorted((buf[p : p + LENGTH].tobytes(), k) for p, k in zip(mine[where].tolist(), order[where].tolist(), strict=True))
-            order[where] = [k for _, k in raw]
-            new[where] = [True] + [x[0] != y[0] for x, y in zip(raw[1:], raw, strict=False)]
-    return order, new
-
-
-def answer(sizes: np.ndarray, place: np.ndarray, least: np.ndarray, buf: np.ndarray) -> np.ndarray:
-    """For each context a mask: bit j is set if a smaller id than its own has its window j. `buf` is padded."""
-    n = len(sizes)
-    lengths = sizes.astype(np.int64) + LENGTH
-    first = np.cumsum(lengths) - lengths
-    mask = np.zeros(n, dtype=np.uint64)
-    hashes = anchor_hashes(buf, first + place)
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    new = np.ones(n, dtype=bool)
-    new[1:] = h[1:] != h[:-1]
-    begin = np.flatnonzero(new)
-    low, high = np.minimum.reduceat(least[order], begin), np.maximum.reduceat(least[order], begin)
-    group = np.cumsum(new) - 1
-    some = order[(low < high)[group]]  # of anchors that more than one id has
-    if not len(some):
+    h = length.astype(np.uint64)
+    for k in range(0, _LONGEST, 8):
+        at = np.minimum(k, length - 8)
+        h = _mix((h ^ eight[first + at]) * np.uint64(_BASE))
+        if k and (at < k).all():
+            break
+    return h
+
+
+def _say_parts(buckets: int):  # noqa: ANN202
+    """From a block's texts and the verdicts on its keys: the shared parts, by the bucket of their key (or window)."""
+
+    def use(number: int, texts: tuple, answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(*texts[:2])
+        keys, _, _ = parts.keys()
+        order, _, _ = _by_bucket(keys, buckets)
+        verdict = np.zeros(len(keys), dtype=np.uint8)
+        if len(keys):
+            verdict[order] = np.frombuffer(b"".join(B.unpack(body)[0] for _, body in answers), np.uint8)
+        mine = verdict[np.searchsorted(keys, parts.key)] if len(keys) else verdict
+        some, hot = np.flatnonzero(mine == 1), np.flatnonzero(mine == 2)
+        n = parts.last[hot] - parts.first[hot] + 1
+        windows = np.repeat(parts.first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        kind = np.concatenate([parts.kind[some], np.full(len(windows), _WINDOW, dtype=np.uint8)])
+        first = np.concatenate([parts.first[some], windows])
+        size = np.concatenate([parts.last[some] - parts.first[some], np.zeros(len(windows), dtype=np.int64)])
+        place = np.concatenate([parts.anchor[some] - parts.first[some], np.zeros(len(windows), dtype=np.int64)])
+        ids = np.concatenate([parts.id[some], np.repeat(parts.id[hot], n)])
+        if not len(first):
+            return
+        lead = _leaders(parts.buf, first, size + LENGTH, kind, place, ids)
+        key = np.concatenate([parts.key[some], key_hashes(parts.buf, windows, LENGTH)])
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        # occurrences in the order (bucket, leader, place), the leader's attributes once
+        occurs = np.lexsort((first, lead, bucket[lead]))
+        new = np.concatenate([[True], lead[occurs][1:] != lead[occurs][:-1]])
+        heads = lead[occurs][new]
+        times = np.diff(np.append(np.flatnonzero(new), len(occurs)))
+        edge = np.flatnonzero(np.concatenate([[True], bucket[heads][1:] != bucket[heads][:-1], [True]]))
+        upto = np.concatenate([[0], np.cumsum(times)])
+        rows = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            h, o = heads[a:b], occurs[upto[a] : upto[b]]
+            length = size[h] + LENGTH
+            at = np.repeat(first[h] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            later = ids[o] > ids[lead[o]]
+            rows.append((int(bucket[h[0]]), number, B.pack(kind[h], size[h].astype(np.uint8), place[h].astype(np.uint8), ids[h], times[a:b].astype(np.int32), first[o].astype(np.int64), later, parts.buf[at].tobytes())))
+        yield B.message_batch(rows)
+
+    return use
+
+
+class Suffixes:
+    """Prefix-polynomial hashes over stretches laid end to end; a suffix is a position, of which 50 bytes count."""
+
+    def __init__(self, buf: np.ndarray, first: np.ndarray, length: np.ndarray) -> None:
+        """`buf` holds the stretches (at most _LONGEST bytes each) and padding."""
+        self.buf = buf
+        total = int(length.sum())
+        self.offset = (np.arange(total) - np.repeat(first, length)).astype(np.uint8)
+        self.prefix = np.zeros(total + 1, dtype=np.uint64)
+        np.cumsum((buf[:total].astype(np.uint64) + np.uint64(1)) * _UP[self.offset], out=self.prefix[1:])
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Length of the common extension of the suffixes x and y, LENGTH at most, by binary search over hashes."""
+        px, py, dx, dy = self.prefix[x], self.prefix[y], _DOWN[self.offset[x]], _DOWN[self.offset[y]]
+        agree = lambda k, s: (self.prefix[x[s] + k] - px[s]) * dx[s] == (self.prefix[y[s] + k] - py[s]) * dy[s]
+        out = np.full(len(x), LENGTH, dtype=np.int64)
+        left = np.flatnonzero(~agree(LENGTH, slice(None)))
+        low, high = np.zeros(len(left), dtype=np.int64), np.full(len(left), LENGTH, dtype=np.int64)
+        while len(left) and (high - low > 1).any():  # they agree over `low` bytes and not over `high`
+            half = (low + high) >> 1
+            yes = agree(half, left)
+            low, high = np.where(yes, half, low), np.where(yes, high, half)
+        out[left] = low
+        return out
+
+    def less(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether suffix x comes before suffix y: by the first byte after their common extension."""
+        n = self.common(x, y)
+        return (n < LENGTH) & (self.buf[x + np.minimum(n, LENGTH - 1)] < self.buf[y + np.minimum(n, LENGTH - 1)])
+
+    def compared_bytes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as the LENGTH bytes of x come before, equal or come after those of y."""
+        eight = _words_at(self.buf)
+        out = np.zeros(len(x), dtype=np.int8)
+        left = np.arange(len(x))
+        for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+            a, b = eight[x[left] + k].byteswap(), eight[y[left] + k].byteswap()
+            out[left] = np.where(a < b, -1, np.where(a > b, 1, 0))
+            left = left[a == b]
+        return out
+
+    def sort(self, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the suffixes `at` by (group, bytes), and where in it a class of equal suffixes begins.
+
+        A merge sort from below, all groups at once: a suffix's place in the merged run is its place in its own run and
+        the number of suffixes of the other run before it, found by binary search. `group` must ascend.
+        """
+        n = len(at)
+        index = np.arange(n)
+        begin = np.concatenate([[True], group[1:] != group[:-1]]) if n else np.zeros(0, dtype=bool)
+        start = np.maximum.accumulate(np.where(begin, index, 0))
+        size = np.bincount(np.cumsum(begin) - 1)[np.cumsum(begin) - 1] if n else index
+        order, width, most = index.copy(), 1, int(size.max()) if n else 0
+        while width < most:
+            live = np.flatnonzero(size > width)  # groups that are not one run yet
+            r = live - start[live]
+            run = r // width
+            low = np.minimum((run ^ 1) * width, size[live])
+            high = np.minimum(low + width, size[live])
+            first, from_ = low.copy(), run & 1 == 1
+            mine = at[order[live]]
+            todo = np.flatnonzero(low < high)
+            while len(todo):
+                half = (low[todo] + high[todo]) >> 1
+                other = at[order[start[live[todo]] + half]]
+                # of equal suffixes those of the left run stay ahead
+                before = np.where(from_[todo], ~self.less(mine[todo], other), self.less(other, mine[todo]))
+                low[todo] = np.where(before, half + 1, low[todo])
+                high[todo] = np.where(before, high[todo], half)
+                todo = todo[low[todo] < high[todo]]
+            to = start[live] + (run & ~1) * width + (r - run * width) + (low - first)
+            merged = order.copy()
+            merged[to] = order[live]
+            order, width = merged, width * 2
+        new = np.ones(n, dtype=bool)
+        if n > 1:
+            x, y = at[order[:-1]], at[order[1:]]
+            inside = ~begin[1:]
+            how = self.compared_bytes(x, y)
+            new[1:] = ~inside | (how != 0)
+            wrong = inside & ((how > 0) | ((how == 0) != (self.common(x, y) == LENGTH)))
+            for g in np.unique(start[1:][wrong]).tolist():  # two hashes met: this group is sorted by its bytes
+                where = np.arange(g, g + size[g])
+                raw = sorted((self.buf[p : p + LENGTH].tobytes(), k) for p, k in zip(at[order[where]].tolist(), order[where].tolist(), strict=True))
+                order[where] = [k for _, k in raw]
+                new[where] = [True] + [a[0] != b[0] for a, b in zip(raw[1:], raw, strict=False)]
+        return order, new
+
+
+def find_repeats(kind: np.ndarray, size: np.ndarray, place: np.ndarray, least: np.ndarray, text: bytes) -> np.ndarray:
+    """For each part a mask: bit j is set if a smaller id than its own has its window j."""
+    n = len(kind)
+    length = size.astype(np.int64) + LENGTH
+    first = np.cumsum(length) - length
+    buf = np.frombuffer(text + bytes(64), dtype=np.uint8)
+    full = (np.uint64(1) << (size.astype(np.uint64) + np.uint64(1))) - np.uint64(1)
+    place = place.astype(np.int64)
+    lead = _leaders(buf, first, length, kind, place, least)
+    mask = np.where(least > least[lead], full, np.uint64(0))
+    ahead = np.flatnonzero(lead == np.arange(n))
+    if not len(ahead):
         return mask
-    some.sort()
-    # equal contexts are joined first; one of them stands for all
-    whole = textvec.span_hashes(buf, first[some], first[some] + lengths[some])
-    by = np.lexsort((least[some], whole))
-    fresh = np.ones(len(by), dtype=bool)
-    fresh[1:] = whole[by][1:] != whole[by][:-1]
-    ahead = some[by[fresh]]
-    stands = ahead[np.cumsum(fresh) - 1]
-    mine = some[by]
-    eight = _words_at(buf)
-    same = sizes[mine] == sizes[stands]
-    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-        same &= eight[first[mine] + k] == eight[first[stands] + k]
-    for back in range(0, 48, 8):
-        k = np.maximum(lengths[mine] - 8 - back, 0)
-        same &= eight[first[mine] + k] == eight[first[stands] + np.minimum(k, lengths[stands] - 8)]
-    alone = np.union1d(ahead, mine[~same])  # these speak for themselves
-    count = sizes[alone].astype(np.int64) + 1
+    key = key_hashes(buf, first[ahead] + place[ahead] - np.where(kind[ahead] == _LEFT, SIDE, 0)) ^ kind[ahead]
+    single = kind[ahead] == _WINDOW
+    key[single] = key_hashes(buf, first[ahead[single]], LENGTH)
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(k))))
+    ids = least[ahead[order]]
+    some = (np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin))[group]  # of keys that still have several ids
+    mine, group = ahead[order[some]], group[some]
+    if not len(mine):
+        return mask
+    count = size[mine].astype(np.int64) + 1
     before = np.cumsum(count) - count
-    owner = np.repeat(np.arange(len(alone)), count)
+    owner = np.repeat(np.arange(len(mine)), count)
     nth = np.arange(count.sum()) - before[owner]
-    at = first[alone][owner] + nth
-    got, edge = window_classes(buf, at)
-    ids = least[alone][owner]
-    smallest = np.minimum.reduceat(ids[got], np.flatnonzero(edge))[np.cumsum(edge) - 1]
+    # windows can be equal only if their anchors lie at the same place in them
+    together = np.lexsort((place[mine][owner] - nth, group[owner]))
+    where = group[owner][together] * LENGTH + (place[mine][owner] - nth)[together]
+    at = (first[mine][owner] + nth)[together]
+    got, edge = Suffixes(buf, first, length).sort(at, where)
+    who = least[mine][owner][together]
+    smallest = np.minimum.reduceat(who[got], np.flatnonzero(edge))[np.cumsum(edge) - 1]
     least_of = np.empty(len(at), dtype=np.int64)
-    least_of[got] = smallest
-    bits = (least_of < ids).astype(np.uint64) << nth.astype(np.uint64)
-    mask[alone] = np.bitwise_or.reduceat(bits, before)
-    joined = same & (mine != stands)
-    full = (np.uint64(1) << (sizes[mine].astype(np.uint64) + np.uint64(1))) - np.uint64(1)
-    mask[mine[joined]] = np.where(least[mine] > least[stands], full, mask[stands])[joined]
+    least_of[together[got]] = smallest
+    bits = (least_of < least[mine][owner]).astype(np.uint64) << nth.astype(np.uint64)
+    mask[mine] |= np.bitwise_or.reduceat(bits, before)
+    joined = (lead != np.arange(n)) & (least == least[lead])
+    mask[joined] |= mask[lead[joined]]
     return mask
 
 
-def _compare():  # noqa: ANN202
-    """Rows (to, block, mark, body) in the order of `to`: the answer to each (bucket, block)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-
-        def replies(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-            sizes, place, least, texts, counts = [], [], [], [], []
-            for _, _, _, body in rows:
-                raw = unpack.decompress(body)
-                n, o = int.from_bytes(raw[:8], "little"), 8
-                sizes.append(np.frombuffer(raw, np.uint8, n, o))
-                place.append(np.frombuffer(raw, np.uint8, n, o + n))
-                least.append(np.frombuffer(raw, np.int64, n, o + 2 * n))
-                texts.append(raw[o + 10 * n :])
-                counts.append(n)
-            buf = np.frombuffer(b"".join(texts) + bytes(64), dtype=np.uint8)
-            masks = answer(np.concatenate(sizes), np.concatenate(place), np.concatenate(least), buf)
-            edges = np.cumsum([0, *counts])
-            out = [pack.compress(masks[a:b].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(out, pa.binary())], names=["to", "block", "mark", "body"])
-
-        held: list[tuple[int, int, int, bytes]] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield replies(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield replies(held)
-
-    return work
-
-
-def _removed(block: Block, masks: np.ndarray) -> np.ndarray:
-    """Of every byte of the block whether it goes."""
-    total = int(block.starts[-1])
-    own = masks[block.which] if len(block.which) else masks
-    later = (block.doc > block.least[block.which]) & block.true if len(block.which) else np.zeros(0, dtype=bool)
-    count = block.last - block.first + 1
-    full = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
-    own = np.where(later, full, np.where(block.true, own, np.uint64(0)))
-    some = np.flatnonzero(own)
-    change = np.zeros(total + 1, dtype=np.int32)
-    before = np.cumsum(count[some]) - count[some]
-    owner = np.repeat(np.arange(len(some)), count[some])
-    nth = np.arange(len(owner)) - before[owner] if len(some) else np.empty(0, dtype=np.int64)
-    gone = (own[some][owner] >> nth.astype(np.uint64)) & np.uint64(1) > 0
-    at = (block.first[some][owner] + nth)[gone]
-    np.add.at(change, at, 1)
-    np.add.at(change, at + LENGTH, -1)
-    return np.cumsum(change[:-1]) > 0
-
-
-def _cut_texts(buckets: int, id_name: str, common: np.ndarray):  # noqa: ANN202
-    """Over rows sorted by (block, to): the texts (to = -1), then the answers in the order of their buckets."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor()
-
-        def done(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-            if rows[0][0] != -1:
-                raise RuntimeError("answers without their block: the input was read in another order the second time")
-            ids, texts = pickle.loads(unpack.decompress(rows[0][3]))
-            block = Block(*_known(ids, texts), buckets, common)
-            parts = [np.frombuffer(unpack.decompress(r[3]), dtype=np.uint64) for r in rows[1:]]
-            masks = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
-            if len(masks) != len(block.leader) or any(r[2] != block.fingerprint() for r in rows[1:]):
-                raise RuntimeError("answers of another block: the input was read in another order the second time")
-            gone = _removed(block, masks)
-            out = []
-            k = 0
-            for i, text in zip(ids, texts, strict=True):
-                spans: list[tuple[int, int]] = []
-                kept = text
-                if i is not None:
-                    mine = gone[block.starts[k] : block.starts[k + 1]]
-                    k += 1
-                    if mine.any():
-                        edge = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
-                        spans = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-                        kept = np.frombuffer(text, dtype=np.uint8)[~mine].tobytes()
-                out.append((i, len(text), [{"start": a, "end": b} for a, b in spans], kept))
-            columns = list(zip(*out, strict=True))
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], span), pa.array(columns[3], pa.binary())], names=[id_name, "n_bytes", "spans", "kept"])
-
-        held: list[tuple[int, int, int, bytes]] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][1] != row[1]:
-                    yield done(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield done(held)
-
-    return work
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _compare(bodies: list[bytes]) -> list[bytes | None]:
+    """For each block the stretches of its bytes that go, as far as this bucket's windows tell."""
+    held = [B.unpack(body) for body in bodies]
+    kind, size, place, least, times, occurs, later = (np.concatenate([h[c] for h in held]) for c in range(7))
+    mask = find_repeats(kind, size, place, least, b"".join(h[7] for h in held))
+    owner = np.repeat(np.arange(len(kind)), times)
+    full = (np.uint64(1) << (size.astype(np.uint64) + np.uint64(1))) - np.uint64(1)
+    own = np.where(later, full[owner], mask[owner])
+    out: list[bytes | None] = []
+    upto = np.cumsum([0, *(len(h[5]) for h in held)])
+    for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+        some = a + np.flatnonzero(own[a:b])
+        if not len(some):
+            out.append(None)
+            continue
+        count = size[owner[some]].astype(np.int64) + 1
+        before = np.cumsum(count) - count
+        which = np.repeat(np.arange(len(some)), count)
+        nth = np.arange(count.sum()) - before[which]
+        gone = own[some][which] >> nth.astype(np.uint64) & np.uint64(1) > 0
+        out.append(B.pack(*_merged(occurs[some][which[gone]] + nth[gone])))
+    return out
+
+
+def _merged(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what windows at these places cover."""
+    at = np.sort(windows)
+    new = np.concatenate([[True], at[1:] > at[:-1] + LENGTH])
+    last = np.concatenate([new[1:], [True]])
+    return at[new].astype(np.int64), at[last].astype(np.int64) + LENGTH
+
+
+def _cut_texts(id_name: str):  # noqa: ANN202
+    """From a block's texts and the stretches that go: the documents, cut."""
+
+    def use(number: int, texts: tuple, answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        ids, raw, _ = texts
+        starts = np.zeros(len(raw) + 1, dtype=np.int64)  # as in Parts: of documents with an id
+        np.cumsum([len(t) if i is not None else 0 for i, t in zip(ids, raw, strict=True)], out=starts[1:])
+        change = np.zeros(int(starts[-1]) + 1, dtype=np.int32)
+        for _, body in answers:
+            first, last = B.unpack(body)
+            np.add.at(change, first, 1)
+            np.add.at(change, last, -1)
+        gone = np.cumsum(change[:-1]) > 0
+        out = []
+        for k, (i, text) in enumerate(zip(ids, raw, strict=True)):
+            mine = gone[starts[k] : starts[k + 1]]
+            spans: list[dict] = []
+            kept = text
+            if mine.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
+                spans = [{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+                kept = np.frombuffer(text, dtype=np.uint8)[~mine].tobytes()
+            out.append((i, len(text), spans, kept))
+        columns = list(zip(*out, strict=True))
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), span, pa.binary()), strict=True)], names=[id_name, "n_bytes", "spans", "kept"])
+
+    return use
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """id_col (long), n_bytes, spans (start, end in bytes) of removed runs, kept (the remaining bytes), per input row.
 
     A null text is empty. A row with a null id keeps all its bytes and takes none from others; rows that share an id
-    take none from each other. Texts of fewer than 50 bytes have no window. An empty table gives an empty result.
-    Other columns are ignored. The input is read twice and must give the same partitions both times, as files do;
-    answers that do not fit their block stop the job.
+    take none from each other. Texts of fewer than 50 bytes have no window; a text longer than `block_bytes` is a block
+    of its own. An empty table gives an empty result. Other columns are ignored. The input is read once: its blocks are
+    checkpointed, so its partitions and order may change on a retry.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
-    n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    common = common_strings(rows, n_rows, block_bytes)
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
-    buckets = 2 * parts
-    form = "to long, block long, mark long, body binary"
-    sent = map_batches(rows, _send(buckets, block_bytes, common), form).repartition(parts, "to").sortWithinPartitions("to", "block")
-    answers = map_batches(sent, _compare(), form)
-    both = answers.unionByName(map_batches(rows, _texts(block_bytes), form))
-    again = both.repartition(max(1, parts), "block").sortWithinPartitions("block", "to")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("boolean").alias("more"))
+    blocks = B.make(rows, block_bytes)
+    n = B.tasks(blocks)
+    verdicts = B.in_buckets(B.send(blocks, _say_keys(n)), n, _match_keys(hot))
+    parts = B.at_blocks(blocks, verdicts, n, _say_parts(n), B.MESSAGE)
+    gone = B.in_buckets(parts, n, _compare)
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
-    return map_batches(again, _cut_texts(buckets, id_col, common), schema)
+    return B.at_blocks(blocks, gone, n, _cut_texts(id_col), schema)
