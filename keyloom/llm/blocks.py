@@ -20,8 +20,8 @@ from . import textvec
 from .common import cut, map_batches
 
 BLOCK_BYTES = 4_000_000
-#: text that one task takes: of a bucket's share, and of the blocks whose answers it applies
-TASK_BYTES = 16_000_000
+#: text whose keys go to one bucket, on average
+TASK_BYTES = 10_000_000
 MESSAGE = "to long, block long, body binary"
 #: the `to` of a block's own texts: below every bucket
 TEXTS = -1
@@ -86,10 +86,11 @@ def make(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return cut(map_batches(rows, work, f"{MESSAGE}, n_bytes long"))
 
 
-def tasks(blocks: DataFrame, task_bytes: int = TASK_BYTES) -> int:
-    """How many tasks share the blocks, and how many buckets their keys: by the size of the texts."""
-    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // task_bytes)
+def tasks(blocks: DataFrame, task_bytes: int = TASK_BYTES) -> tuple[int, int]:
+    """How many buckets the keys of the blocks fall into, by the size of the texts; and how many tasks share the blocks."""
+    n, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    least = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, int(total) // task_bytes), max(least, n // 2)
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple[int, int, bytes]]]:

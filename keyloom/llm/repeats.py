@@ -35,7 +35,7 @@ ANCHOR = 12
 #: bytes that a key has beside its anchor; every window has as many on one side of it at least
 SIDE = (LENGTH - ANCHOR) // 2
 #: different parts of a key beyond which they travel window by window
-HOT = 10_000
+HOT = 2_000
 _CHUNK = 1 << 20
 _KEY_BITS = 40
 _RIGHT, _LEFT, _WINDOW = 0, 1, 2
@@ -77,9 +77,8 @@ def find_contexts(buf: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray,
     n_kmers = LENGTH - ANCHOR + 1
     total = int(doc_starts[-1])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    blocked = np.zeros(total + 1, dtype=np.int8)  # windows that would leave their text
     ends = doc_starts[1:]
-    step = np.zeros(total + 1, dtype=np.int32)
+    step = np.zeros(total + 1, dtype=np.int32)  # windows that would leave their text
     np.add.at(step, np.maximum(doc_starts[:-1], ends - LENGTH + 1), 1)
     np.add.at(step, ends, -1)
     blocked = np.cumsum(step[:-1], dtype=np.int32) > 0
@@ -137,43 +136,48 @@ class Parts:
         self.last = np.concatenate([last[right], np.minimum(last, anchor - SIDE - 1)[left]])
         self.anchor = np.concatenate([anchor[right], anchor[left]])
         self.key = key_hashes(self.buf, self.anchor - np.where(self.kind == _LEFT, SIDE, 0)) ^ self.kind
-        self.id = self.ids[np.searchsorted(self.starts, self.first, side="right") - 1]
+        of = np.searchsorted(self.starts, first, side="right") - 1  # first ascends, within either kind
+        self.id = self.ids[np.concatenate([of[right], of[left]])]
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys in order, and of each its least id and greatest id."""
-        order = np.argsort(self.key)
-        k, i = self.key[order], self.id[order]
-        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, dtype=np.int64)
-        if not len(begin):
-            return k, i, i
-        return k[begin], np.minimum.reduceat(i, begin), np.maximum.reduceat(i, begin)
-
-    def different(self, keys: np.ndarray) -> np.ndarray:
-        """How many different parts each of the keys has; by a hash, as this only steers."""
-        whole = _mix(self.key + (self.last - self.first).astype(np.uint64)) ^ key_hashes(self.buf, np.where(self.kind == _RIGHT, self.first, self.last + LENGTH - SIDE - ANCHOR)) ^ key_hashes(self.buf, np.where(self.kind == _RIGHT, self.last + LENGTH - SIDE - ANCHOR, self.first))
-        _, at = np.unique(whole, return_index=True)
-        return np.bincount(np.searchsorted(keys, self.key[at]), minlength=len(keys))
-
-
-def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the keys by (bucket, what is left of the key), and the edges of the buckets that occur."""
-    bucket, rest = keys % np.uint64(buckets), keys // np.uint64(buckets) & np.uint64((1 << _KEY_BITS) - 1)
-    order = np.lexsort((rest, bucket))
-    b = bucket[order]
-    edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else np.zeros(1, dtype=np.int64)
-    return order, edges, rest[order]
+    def numbered(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys as (bucket, what is left of the key) in one ascending number; the number of each part's key;
+        whether documents of different ids have it; and how many different parts have it (by a hash: this only steers).
+        """
+        key = (self.key % np.uint64(buckets) << np.uint64(_KEY_BITS)) | (self.key // np.uint64(buckets) & np.uint64((1 << _KEY_BITS) - 1))
+        order = np.argsort(key)
+        k = key[order]
+        new = np.ones(len(k), dtype=bool)
+        new[1:] = k[1:] != k[:-1]
+        begin = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        number = np.empty(len(k), dtype=np.int64)
+        number[order] = group
+        many, different = np.zeros(len(begin), dtype=bool), np.ones(len(begin), dtype=np.int64)
+        again = np.flatnonzero(~new)  # parts whose key another part has too, and from here on only those
+        some = order[np.union1d(again, again - 1)]
+        if len(some):
+            g, i = number[some], self.id[some]
+            many[g[1:][(g[1:] == g[:-1]) & (i[1:] != i[:-1])]] = True
+            far = self.last[some] + LENGTH - SIDE - ANCHOR
+            whole = key_hashes(self.buf, self.first[some]) + _mix(key_hashes(self.buf, far)) + (far - self.first[some]).astype(np.uint64)
+            by = np.lexsort((whole, g))
+            g, whole = g[by], whole[by]
+            fresh = np.ones(len(g), dtype=bool)
+            fresh[1:] = (g[1:] != g[:-1]) | (whole[1:] != whole[:-1])
+            different = np.maximum(different, np.bincount(g[fresh], minlength=len(begin)))
+        return k[begin], number, many, different
 
 
 def _say_keys(buckets: int):  # noqa: ANN202
     def say(number: int, texts: tuple) -> list[tuple[int, bytes]]:
-        parts = Parts(*texts[:2])
-        keys, low, high = parts.keys()
-        order, edges, rest = _by_bucket(keys, buckets)
-        many, n = (low < high)[order], parts.different(keys)[order]
+        keys, _, many, n = Parts(*texts[:2]).numbered(buckets)
+        bucket = (keys >> np.uint64(_KEY_BITS)).astype(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else np.zeros(1, dtype=np.int64)
         out = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             more = np.flatnonzero(n[a:b] > 1).astype(np.int32)
-            out.append((int(keys[order[a]] % np.uint64(buckets)), B.pack(B.planes(rest[a:b]), np.packbits(many[a:b]).tobytes(), more.tobytes(), n[a:b][more].astype(np.int32).tobytes())))
+            rest = keys[a:b] & np.uint64((1 << _KEY_BITS) - 1)
+            out.append((int(bucket[a]), B.pack(B.planes(rest), np.packbits(many[a:b]).tobytes(), more.tobytes(), n[a:b][more].astype(np.int32).tobytes())))
         return out
 
     return say
@@ -253,12 +257,9 @@ def _say_parts(buckets: int):  # noqa: ANN202
 
     def use(number: int, texts: tuple, answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         parts = Parts(*texts[:2])
-        keys, _, _ = parts.keys()
-        order, _, _ = _by_bucket(keys, buckets)
-        verdict = np.zeros(len(keys), dtype=np.uint8)
-        if len(keys):
-            verdict[order] = np.frombuffer(b"".join(B.unpack(body)[0] for _, body in answers), np.uint8)
-        mine = verdict[np.searchsorted(keys, parts.key)] if len(keys) else verdict
+        _, key_number, _, _ = parts.numbered(buckets)
+        verdict = np.frombuffer(b"".join(B.unpack(body)[0] for _, body in answers), np.uint8)
+        mine = verdict[key_number]
         some, hot = np.flatnonzero(mine == 1), np.flatnonzero(mine == 2)
         n = parts.last[hot] - parts.first[hot] + 1
         windows = np.repeat(parts.first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -316,10 +317,15 @@ class Suffixes:
         out[left] = low
         return out
 
-    def less(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether suffix x comes before suffix y: by the first byte after their common extension."""
+    def less(self, x: np.ndarray, y: np.ndarray, head_x: np.ndarray, head_y: np.ndarray) -> np.ndarray:
+        """Whether suffix x comes before suffix y: by their first 8 bytes (as numbers), or else by the first byte after
+        their common extension."""
+        out = head_x < head_y
+        s = np.flatnonzero(head_x == head_y)
+        x, y = x[s], y[s]
         n = self.common(x, y)
-        return (n < LENGTH) & (self.buf[x + np.minimum(n, LENGTH - 1)] < self.buf[y + np.minimum(n, LENGTH - 1)])
+        out[s] = (n < LENGTH) & (self.buf[x + np.minimum(n, LENGTH - 1)] < self.buf[y + np.minimum(n, LENGTH - 1)])
+        return out
 
     def compared_bytes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """-1, 0 or 1 as the LENGTH bytes of x come before, equal or come after those of y."""
@@ -344,6 +350,7 @@ class Suffixes:
         start = np.maximum.accumulate(np.where(begin, index, 0))
         size = np.bincount(np.cumsum(begin) - 1)[np.cumsum(begin) - 1] if n else index
         order, width, most = index.copy(), 1, int(size.max()) if n else 0
+        head = _words_at(self.buf)[at].byteswap()
         while width < most:
             live = np.flatnonzero(size > width)  # groups that are not one run yet
             r = live - start[live]
@@ -351,13 +358,14 @@ class Suffixes:
             low = np.minimum((run ^ 1) * width, size[live])
             high = np.minimum(low + width, size[live])
             first, from_ = low.copy(), run & 1 == 1
-            mine = at[order[live]]
+            mine = order[live]
             todo = np.flatnonzero(low < high)
             while len(todo):
                 half = (low[todo] + high[todo]) >> 1
-                other = at[order[start[live[todo]] + half]]
+                own, other, right = mine[todo], order[start[live[todo]] + half], from_[todo]
                 # of equal suffixes those of the left run stay ahead
-                before = np.where(from_[todo], ~self.less(mine[todo], other), self.less(other, mine[todo]))
+                x, y = np.where(right, own, other), np.where(right, other, own)
+                before = self.less(at[x], at[y], head[x], head[y]) ^ right
                 low[todo] = np.where(before, half + 1, low[todo])
                 high[todo] = np.where(before, high[todo], half)
                 todo = todo[low[todo] < high[todo]]
@@ -497,9 +505,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("boolean").alias("more"))
     blocks = B.make(rows, block_bytes)
-    n = B.tasks(blocks)
+    n, at = B.tasks(blocks)
     verdicts = B.in_buckets(B.send(blocks, _say_keys(n)), n, _match_keys(hot))
-    parts = B.at_blocks(blocks, verdicts, n, _say_parts(n), B.MESSAGE)
+    parts = B.at_blocks(blocks, verdicts, at, _say_parts(n), B.MESSAGE)
     gone = B.in_buckets(parts, n, _compare)
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
-    return B.at_blocks(blocks, gone, n, _cut_texts(id_col), schema)
+    return B.at_blocks(blocks, gone, at, _cut_texts(id_col), schema)
