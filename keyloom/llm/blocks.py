@@ -25,6 +25,8 @@ TASK_BYTES = 10_000_000
 MESSAGE = "to long, block long, body binary"
 #: the `to` of a block's own texts: below every bucket
 TEXTS = -1
+#: the `block` of what a bucket says of itself
+NOTE = -1
 
 
 def pack(*parts: object) -> bytes:
@@ -119,17 +121,17 @@ def send(blocks: DataFrame, say: Callable[[int, tuple], list[tuple[int, bytes]]]
     return map_batches(blocks.select("block", "body"), work, MESSAGE)
 
 
-def in_buckets(messages: DataFrame, buckets: int, reply: Callable[[list[bytes]], list[bytes | None]], extra: Callable[[], bytes] | None = None) -> DataFrame:
+def in_buckets(messages: DataFrame, buckets: int, reply: Callable[[list[bytes]], list[bytes | None]]) -> DataFrame:
     """Messages again: `reply` gets the bodies of one bucket, by block, and gives as many; a None is not sent.
 
-    With `extra` a row (TEXTS - 1, bucket, body) after each bucket carries what it returns.
+    One body more than it got is a note of the bucket's own; its `block` is NOTE.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, 0):
-            out = [(to, block, body) for (to, block, _), body in zip(rows, reply([r[2] for r in rows]), strict=True) if body is not None]
-            if extra is not None:
-                out.append((TEXTS - 1, rows[0][0], extra()))
+            made = reply([r[2] for r in rows])
+            blocks = [r[1] for r in rows] + [NOTE] * (len(made) - len(rows))
+            out = [(rows[0][0], block, body) for block, body in zip(blocks, made, strict=True) if body is not None]
             if out:
                 yield message_batch(out)
 

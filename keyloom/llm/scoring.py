@@ -1,18 +1,23 @@
 """Cross-entropy difference: how much more a text is like a target corpus than like the whole corpus, per token.
 
-Two bigram models share their vocabulary, their list of bigrams, their smoothing and their order; they differ only in
-the corpus that they count. The background counts every document; the target counts those that are marked. A text's
-score is the mean over its tokens of the background's loss less the target's.
-
-Words are lower-cased. Words and bigrams met at least twice are entries of both models, all of them, and stay Spark
-tables; a word met once counts as unknown. A text's loss is a sum over its words and bigrams, so an entry is a key and
-what it adds: a word, its loss less the unknown word's; a bigram, its loss less its second word's. The most frequent
-entries, at most HOT, go to the workers; of the others a text's keys and counts are shuffled by key to the table. A
-bitmap of fixed size keeps back most keys that are no entry. Both only save work: results are those of the whole table.
+Bigram models of matched size share their vocabulary, smoothing and order; they differ only in the documents that they
+count. The target model counts the marked ones. The background counts all, in as many folds by the hash of the id as
+give each fold the target's size (FOLDS at most; what still differs is made up by scaling counts): a fold is a model
+like the target's, and the background's loss is the mean of theirs. One model of everything would know more bigrams than
+the target can, whatever the text. A text's score is the mean over its tokens of the background's loss less the target's.
+
+No text is scored by counts of itself: its own words and bigrams are taken off first (leave one out), in every model that
+has counted it. A word or bigram that no other text has is then unknown.
+
+Every word and bigram of the corpus counts; there is no list of frequent ones. Blocks of documents send the keys and
+counts of what they hold to buckets by key, one row per block and bucket. A bucket adds up the counts of each key and
+answers each block with the totals of its keys. The answers meet the blocks' texts again, where the losses are summed.
+A key occurs once per block, however frequent it is, so no bucket gets more of one key than there are blocks.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,19 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from . import blocks as B
 from . import textvec
 from .common import cut, map_batches
 
-#: words that are joined to bigrams by a broadcast, and entries that go to the workers; the others are shuffled
-HOT_WORDS = 50_000
-HOT = 350_000
-#: bits of the map of the entries that do not go to the workers
-MAP_BITS = 1 << 26
-_CHUNK = 1 << 20
-SHARE = 0.5  # of the bigram estimate against the unigram's
-ALPHA = 0.5
-_STEPS = 8  # histogram cells per doubling of a count
+#: tokens that the unigram estimate counts as beside those that followed a word
+PRIOR = 100.0
+#: what every word of the vocabulary counts as beside its occurrences
+ALPHA = 0.05
+#: most folds of the background
+FOLDS = 8
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,171 +48,151 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return textvec.span_hashes(cps, starts, ends), np.searchsorted(doc_starts, starts, side="right") - 1
 
 
-def _in_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    texts = [t or "" for t in batch.column(1).to_pylist()]
-    for a, b in textvec.blocks(texts):
-        yield a, b, *tokens(texts[a:b])
-
-
-def _pair_keys(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each pair of neighbours in a text, and the place of its second word; `_PAIR_KEY` is the same in SQL."""
-    at = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-    second = hashes[at]
-    return hashes[at - 1] ^ (second << np.uint64(23) | second >> np.uint64(41)), at
-
-
-_PAIR_KEY = "a ^ (shiftleft(b, 23) | shiftrightunsigned(b, 41))"
-
-
-def _sums(keys: np.ndarray, marked: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """One row per distinct key: its values in `columns`, its count and how many of it are marked."""
-    got, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    held = [pa.array(c[first].view(np.int64)) for c in columns]
-    return pa.RecordBatch.from_arrays([*held, pa.array(np.bincount(which, minlength=len(got))), pa.array(np.bincount(which, weights=marked, minlength=len(got)).astype(np.int64))], names=names)
-
-
-def _threshold(counts: DataFrame, most: int) -> int:
-    """The least count n, 2 or more, such that at most `most` rows have it or a higher one, by a histogram."""
-    cell = F.floor(F.log2("n") * _STEPS)
-    total = 0
-    for r in counts.filter("n > 1").groupBy(cell.alias("cell")).count().orderBy(F.desc("cell")).collect():  # some hundred rows
-        total += r["count"]
-        if total > most:
-            return int(np.floor(2 ** ((r["cell"] + 1) / _STEPS))) + 1
-    return 2
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bits of the map at the given spots, by chunk; all spots of a chunk are in one partition."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        spots = batch.column(0).to_numpy()
-        for chunk in np.unique(spots // _CHUNK).tolist():
-            bits = held.setdefault(chunk, np.zeros(_CHUNK >> 3, dtype=np.uint8))
-            mine = spots[spots // _CHUNK == chunk] - chunk * _CHUNK
-            np.bitwise_or.at(bits, mine >> 3, (1 << (mine & 7)).astype(np.uint8))
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["chunk", "bits"])
-
-
-class Table:
-    """Rows in Spark, with their number as length."""
-
-    def __init__(self, rows: DataFrame) -> None:
-        self.rows = rows
-
-    def __len__(self) -> int:
-        return self.rows.count()
-
-
-class Models:
-    """What words and bigrams add to a text's loss under both models, and the losses of an unknown word."""
-
-    def __init__(self, words: DataFrame, bigrams: DataFrame, unknown: np.ndarray) -> None:
-        """words and bigrams: key, n, background, target, checkpointed; unknown: the losses of an unknown word."""
-        self.words, self.bigrams, self.unknown = Table(words), Table(bigrams), unknown
-        self.entries = words.unionByName(bigrams)
-        hot = _threshold(self.entries, HOT)
-        top = self.entries.filter(F.col("n") >= hot).select("key", "background", "target").toArrow()  # HOT rows at most
-        keys = top["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        self.hot_keys, self.hot_adds = keys[order], np.stack([top[c].to_numpy()[order] for c in ("background", "target")], axis=1)
-        self.cold = self.entries.filter(F.col("n") < hot).select("key", "background", "target")
-        spots = self.cold.select(F.col("key").bitwiseAND(F.lit(MAP_BITS - 1)).alias("spot"))
-        parts = map_batches(spots.repartition(F.expr(f"spot div {_CHUNK}")), _marked, "chunk long, bits binary").toArrow()  # MAP_BITS in all
-        self.map = np.zeros(MAP_BITS >> 3, dtype=np.uint8)
-        for chunk, bits in zip(parts["chunk"].to_pylist(), parts["bits"].to_pylist(), strict=True):
-            self.map[chunk * _CHUNK >> 3 : (chunk + 1) * _CHUNK >> 3] = np.frombuffer(bits, dtype=np.uint8)
-
-
-def _with_counts(pairs: DataFrame, side: str, words: DataFrame, hot: int) -> DataFrame:
-    """`pairs` whose word `side` is in `words`, with its counts; only words below the count `hot` are shuffled."""
-    named = words.select(F.col("word").alias(side), F.col("n").alias(f"n_{side}"), F.col("t").alias(f"t_{side}"))
-    tried = pairs.join(F.broadcast(named.filter(F.col(f"n_{side}") >= hot)), side, "left")  # HOT_WORDS rows at most
-    rest = tried.filter(F.col(f"n_{side}").isNull()).drop(f"n_{side}", f"t_{side}")
-    return tried.filter(F.col(f"n_{side}").isNotNull()).unionByName(rest.join(named.filter(F.col(f"n_{side}") < hot), side))
-
-
-def train(docs: DataFrame, text: Column, marked: Column, words: int | None = None, bigrams: int | None = None) -> Models:
-    """Models of all rows (background) and of those where `marked` is true (target); null texts are empty.
-
-    Every word and bigram met at least twice is an entry, unless the caller limits them to the most frequent `words` of
-    words or `bigrams` of bigrams.
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Counts of zero or more in the least type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
+
+
+class Keys:
+    """Words and bigrams of a block: distinct keys, ascending, and the number of each token's word and of its bigram."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        hashes, self.doc = tokens([t.decode("utf-8", "surrogatepass") for t in texts])
+        words, self.word = np.unique(hashes, return_inverse=True)
+        self.second = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1  # tokens that have one before them
+        mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        pairs = (mixed[self.second - 1] * np.uint64(0xD6E8FEB86659FD93) ^ hashes[self.second]) * np.uint64(0xBF58476D1CE4E5B9)
+        pairs ^= pairs >> np.uint64(32)
+        pairs, self.pair = np.unique(pairs, return_inverse=True)
+        self.n_words = len(words)
+        keys = np.concatenate([words, pairs])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.is_word = keys[order], order < len(words)
+        self.place = np.empty(len(keys), dtype=np.int64)
+        self.place[order] = np.arange(len(keys))
+
+    def counted(self, weight: np.ndarray) -> np.ndarray:
+        """Of every key, in order, how often the documents of weight 1 have it."""
+        single = np.bincount(self.word, weights=weight[self.doc], minlength=self.n_words)
+        double = np.bincount(self.pair, weights=weight[self.doc[self.second]], minlength=len(self.keys) - self.n_words)
+        out = np.empty(len(self.keys), dtype=np.int64)
+        out[self.place] = np.concatenate([single, double]).astype(np.int64)
+        return out
+
+
+def _own(number: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of every token how often its own text has its number."""
+    if not len(number):
+        return number
+    _, which, n = np.unique(doc * (int(number.max()) + 1) + number, return_inverse=True, return_counts=True)
+    return n[which]
+
+
+def models(ids: list, how: list[int], folds: int) -> np.ndarray:
+    """A row per model, the folds and then the target: which texts it counts (0 or 1)."""
+    counted = np.array(how, dtype=np.int64)
+    fold = np.array([zlib.crc32(str(i).encode()) % folds for i in ids], dtype=np.int64)
+    return np.stack([*((counted & 1) * (fold == f) for f in range(folds)), counted >> 1])
+
+
+def _say(bits: int, folds: int):  # noqa: ANN202
+    """(bucket, keys and counts) of a block, the counts by model."""
+
+    def say(number: int, texts: tuple) -> list[tuple[int, bytes]]:
+        ids, raw, how = texts
+        held = Keys(raw)
+        bucket = (held.keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(held.keys), dtype=np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, dtype=np.int64)
+        counts = [held.counted(w) for w in models(ids, how, folds)]
+        return [(int(bucket[a]), B.pack(B.planes(held.keys[a:b]), np.packbits(held.is_word[a:b]), *(_small(n[a:b]) for n in counts))) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+    return say
+
+
+def _add_up(bodies: list[bytes]) -> list[bytes]:
+    """The totals of every block's keys; and, as one body more, the bucket's words: how many, and their totals."""
+    held = [B.unpack(body) for body in bodies]
+    keys = [B.from_planes(h[0]) for h in held]
+    whole = np.concatenate(keys)
+    order = np.argsort(whole, kind="stable")  # each block's keys ascend
+    k = whole[order]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    times = np.diff(np.append(begin, len(k)))
+    word = np.concatenate([np.unpackbits(h[1], count=len(x)).astype(bool) for h, x in zip(held, keys, strict=True)])[order][begin]
+    edges = np.cumsum([0, *map(len, keys)])
+    totals, out, known = [], [], np.zeros(len(begin), dtype=bool)
+    for c in range(2, len(held[0])):
+        each = np.add.reduceat(np.concatenate([h[c] for h in held]).astype(np.int64)[order], begin)
+        known |= each > 0
+        totals.append(int(each[word].sum()))
+        back = np.empty(len(k), dtype=np.int64)
+        back[order] = np.repeat(each, times)
+        out.append(back)
+    return [*(B.pack(*(_small(x[a:b]) for x in out)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)), B.pack(int((word & known).sum()), *totals)]
+
+
+def losses(held: Keys, takes: np.ndarray, totals: list[np.ndarray], size: int, sums: list[int]) -> np.ndarray:
+    """Summed losses of every text under background and target.
+
+    A row of `takes` says which texts a model counts; its `totals` are of held.keys, its sum is of all words' totals;
+    the target comes last. `size` is the number of different words.
     """
-    rows = docs.select(F.coalesce(marked, F.lit(False)).alias("marked"), text.alias("text"))
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textvec.slices(batches):
-            target = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            for a, _, hashes, doc in _in_blocks(batch):
-                yield _sums(hashes, target[a + doc], [hashes], ["word", "n", "t"])
-
-    def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textvec.slices(batches):
-            target = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            for a, _, hashes, doc in _in_blocks(batch):
-                pairs, at = _pair_keys(hashes, doc)
-                yield _sums(pairs, target[a + doc[at]], [hashes[at - 1], hashes[at]], ["a", "b", "n", "t"])
-
-    sums = F.sum("n").alias("n"), F.sum("t").alias("t")
-    counted = cut(map_batches(rows, count_words, "word long, n long, t long").groupBy("word").agg(*sums))
-    known = counted.filter(F.col("n") >= (2 if words is None else _threshold(counted, words)))
-    totals = np.array([x or 0 for x in counted.agg(F.sum("n"), F.sum("t")).first()], dtype=np.float64)
-    *inside, size = (x or 0 for x in known.agg(F.sum("n"), F.sum("t"), F.count(F.lit(1))).first())
-    below = totals + ALPHA * (size + 1)
-    single = lambda n, k: (F.col(n) + ALPHA) / float(below[k])
-    unknown = -np.log((1 - SHARE) * (np.maximum(totals - np.array(inside), 0) + ALPHA) / below)
-    word_loss = lambda n, k: -F.log((1 - SHARE) * single(n, k))
-    word_rows = known.select(F.col("word").alias("key"), "n", *((word_loss(n, k) - float(unknown[k])).alias(c) for k, (n, c) in enumerate((("n", "background"), ("t", "target")))))
-
-    pairs = cut(map_batches(rows, count_bigrams, "a long, b long, n long, t long").groupBy("a", "b").agg(*sums).filter("n > 1"))
-    hot = _threshold(known, HOT_WORDS)
-    full = _with_counts(_with_counts(pairs, "a", known, hot), "b", known, hot)
-    given = lambda n: F.col(n) / F.greatest(F.col(f"{n}_a"), F.lit(1))
-    pair_loss = lambda n, k: -F.log(SHARE * given(n) + (1 - SHARE) * single(f"{n}_b", k))
-    pair_rows = cut(full.select(F.expr(_PAIR_KEY).alias("key"), "n", *((pair_loss(n, k) - word_loss(f"{n}_b", k)).alias(c) for k, (n, c) in enumerate((("n", "background"), ("t", "target"))))))
-    return Models(word_rows, pair_rows if bigrams is None else pair_rows.filter(F.col("n") >= _threshold(pair_rows, bigrams)), unknown)
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    n_texts = takes.shape[1]
+    n_tokens = np.bincount(held.doc, minlength=n_texts)
+    own_word, own_pair = _own(held.word, held.doc), _own(held.pair, held.doc[held.second])
+    word, pair, at = held.place[held.word], held.place[held.n_words + held.pair], held.second
+    out = np.zeros((n_texts, len(takes)))
+    for m, (mine, total, whole) in enumerate(zip(takes, totals, sums, strict=True)):
+        scale = sums[-1] / whole if whole and sums[-1] else 1.0
+        count = (total[word] - own_word * mine[held.doc]) * scale
+        p = (count + ALPHA) / ((whole - n_tokens * mine)[held.doc] * scale + ALPHA * (size + 1))
+        p[at] = ((total[pair] - own_pair * mine[held.doc[at]]) * scale + PRIOR * p[at]) / (count[at - 1] + PRIOR)
+        out[:, m] = np.bincount(held.doc, weights=-np.log(p), minlength=n_texts)
+    used = [m for m in range(len(takes) - 1) if sums[m]] or [0]
+    return np.stack([out[:, used].mean(axis=1), out[:, -1]], axis=1)
+
+
+def score(docs: DataFrame, marked: Column, counted: Column | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """id_col, n_tokens, loss_background, loss_target (means, in nats) and score, their difference, of every row.
 
-    A null text, or one without a word, has 0 tokens, losses and score 0. With no marked document the target model is
-    uniform. Null ids and repeated rows are rows like others, an empty table gives an empty result, other columns are
-    ignored.
+    Rows where `counted` (default: all) is true make up the background, those of them where `marked` is true the target;
+    the others are scored only. A null counts as false. A null text, or one without a word, has 0 tokens, losses and
+    score 0. With no marked row the target model is uniform, and the background is one model. Null ids and repeated rows are rows like others; a repeated
+    row is another text, so the one makes the other's words known. A text longer than `block_bytes` is a block of its
+    own. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    fields = [("row", T.LongType()), ("id", docs.schema[id_col].dataType), ("n", T.LongType()), ("background", T.DoubleType()), ("target", T.DoubleType()), ("keys", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.IntegerType()))]
-    hot_keys, hot_adds, marks, unknown = models.hot_keys, models.hot_adds, models.map, models.unknown
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textvec.slices(batches):
-            for a, b, hashes, doc in _in_blocks(batch):
-                pairs, at = _pair_keys(hashes, doc)
-                n = np.bincount(doc, minlength=b - a)
-                losses = n[:, None] * unknown
-                keys, of = np.concatenate([hashes, pairs]), np.concatenate([doc, doc[at]])
-                if len(hot_keys):
-                    place = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
-                    known = hot_keys[place] == keys
-                    for k in (0, 1):
-                        losses[:, k] += np.bincount(of[known], weights=hot_adds[place[known], k], minlength=b - a)
-                    keys, of = keys[~known], of[~known]
-                spot = keys & np.uint64(MAP_BITS - 1)
-                may = (marks[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                keys, of = keys[may], of[may]
-                order = np.lexsort((keys, of))
-                keys, of = keys[order], of[order]
-                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])) if len(keys) else np.zeros(0, dtype=np.int64)
-                ends = pa.array(np.searchsorted(of[first], np.arange(b - a + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (keys[first].view(np.int64), np.diff(np.append(first, len(keys))).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a), pa.array(n), pa.array(losses[:, 0].copy()), pa.array(losses[:, 1].copy()), *lists], names=[c for c, _ in fields])
-
-    numbered = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("row"))
-    held = cut(map_batches(numbered, work, T.StructType([T.StructField(c, t) for c, t in fields])))
-    asked = held.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    # a key among these is rare, so that no task gets many rows of one
-    more = asked.join(models.cold, "key").groupBy("row").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("background", "target")))
-    loss = lambda c: (F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0))) / F.greatest("n", F.lit(1))
-    out = held.select("row", "id", "n", "background", "target").join(more, "row", "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), loss("background").alias("loss_background"), loss("target").alias("loss_target"))
-    return out.withColumn("score", F.col("loss_background") - F.col("loss_target"))
+    true = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    takes = true(F.lit(True) if counted is None else counted)
+    blocks = B.make(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (takes + 2 * takes * true(marked)).alias("more")), block_bytes)
+    bytes_ = F.octet_length(F.col(text_col))
+    folds, = docs.agg(F.sum(F.when(true(marked) * takes == 1, bytes_)) / F.sum(F.when(takes == 1, bytes_))).first()
+    folds = int(min(FOLDS, max(1, round(1 / folds)))) if folds else 1
+    n, at = B.tasks(blocks)
+    bits = (n - 1).bit_length()
+    answers = cut(B.in_buckets(B.send(blocks, _say(bits, folds)), n, _add_up))
+    names = ["size", *(f"sum_{m}" for m in range(folds + 1))]
+
+    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [B.unpack(body) for body in batch.column(0).to_pylist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+
+    notes = map_batches(answers.filter(F.col("block") == B.NOTE).select("body"), stats, ", ".join(f"{c} long" for c in names))
+    size, *sums = (x or 0 for x in notes.agg(*(F.sum(c) for c in names)).first())
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("loss_background", "loss_target", "score"))])
+
+    def use(number: int, texts: tuple, got: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        ids, raw, how = texts
+        held = Keys(raw)
+        replies = [B.unpack(body) for _, body in got]
+        totals = [np.concatenate([r[c] for r in replies]).astype(np.int64) if replies else np.empty(0, dtype=np.int64) for c in range(folds + 1)]
+        summed = losses(held, models(ids, how, folds), totals, size, sums)
+        n_tokens = np.bincount(held.doc, minlength=len(ids))
+        mean = summed / np.maximum(n_tokens, 1)[:, None]
+        columns = [pa.array(ids, to_arrow_type(kind)), pa.array(n_tokens), pa.array(mean[:, 0].copy()), pa.array(mean[:, 1].copy()), pa.array(mean[:, 0] - mean[:, 1])]
+        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return B.at_blocks(blocks, answers.filter(F.col("block") != B.NOTE), at, use, schema)

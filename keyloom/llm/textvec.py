@@ -8,15 +8,13 @@ by the longest single text.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_CHARS = 2_000_000
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, hence invertible modulo 2**64
-_MASK = (1 << 64) - 1
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _TILE = 1 << 18
 
 
@@ -53,54 +51,32 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cps, starts
 
 
-@lru_cache(maxsize=6)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.empty(n, dtype=np.uint64)
-        p[0] = 1
-        done, step = 1, b
-        while done < n:
-            more = min(done, n - done)
-            p[done : done + more] = p[:more] * np.uint64(step)
-            done += more
-            step = step * step & _MASK
-        out.append(p)
-    return out[0], out[1]
-
-
-def _size_for(n: int) -> int:
-    return 1 << max(16, int(n - 1).bit_length())
-
-
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of values[start:end] for each span, from two prefix polynomials; starts must ascend.
+    """A 64-bit hash of values[start:end] for each span; spans must ascend and not overlap.
 
-    The hash depends on the values alone, so prefixes are taken over one tile of the values at a time.
+    Each value is mixed with its place in the span, and the results are summed: unlike a polynomial modulo 2**64 this
+    has no texts of a simple kind that always collide. Sums are taken over one tile of the values at a time.
     """
     out = np.zeros(len(starts), dtype=np.uint64)
-    for t in range(0, len(values), _TILE):
-        a, b = np.searchsorted(starts, (t, t + _TILE))
-        if a == b:
-            continue
-        s, e = starts[a:b] - t, ends[a:b] - t
-        v = values[t : t + int(e.max())].astype(np.uint64) + np.uint64(1)
-        size = _size_for(len(v) + 1)
-        total = out[a:b]
-        for k, base in enumerate(_BASES):
-            up, down = _powers(base, size)
-            prefix = np.zeros(len(v) + 1, dtype=np.uint64)
-            np.cumsum(v * up[: len(v)], out=prefix[1:])
-            h = (prefix[e] - prefix[s]) * down[s]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9 if k else 0x94D049BB133111EB)
-            if k:
-                h = (h >> np.uint64(7)) ^ (h << np.uint64(57))
-            total ^= h
-        total += (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        total ^= total >> np.uint64(31)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + _TILE)))
+        s, e = starts[a:b] - starts[a], ends[a:b] - starts[a]
+        total = int(e[-1])
+        place = np.arange(total) - np.repeat(s, np.diff(np.append(s, total)))
+        m = (values[starts[a] : starts[a] + total].astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD[0]) + place.astype(np.uint64) * np.uint64(_ODD[1])
+        m ^= m >> np.uint64(32)
+        m *= np.uint64(_ODD[2])
+        m ^= m >> np.uint64(29)
+        m *= np.uint64(_ODD[3])
+        m ^= m >> np.uint64(32)
+        prefix = np.zeros(total + 1, dtype=np.uint64)
+        np.cumsum(m, out=prefix[1:])
+        h = prefix[e] - prefix[s] + (e - s).astype(np.uint64) * np.uint64(_ODD[0])
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(_ODD[2])
+        out[a:b] = h ^ (h >> np.uint64(29))
+        a = b
     return out
 
 
