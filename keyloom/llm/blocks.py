@@ -41,15 +41,27 @@ def unpack(body: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(body))
 
 
-def planes(ascending: np.ndarray) -> bytes:
-    """Ascending unsigned numbers as byte planes of their differences: the high planes are nearly all zero."""
-    steps = np.diff(ascending.astype(np.uint64), prepend=np.uint64(0))
-    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def planes(numbers: np.ndarray) -> tuple[int, bytes]:
+    """Unsigned numbers as byte planes, as few as the greatest needs: where most are small, the high planes compress away."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    return width, np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def from_planes(raw: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.cumsum(steps, dtype=np.uint64)
+def from_planes(held: tuple[int, bytes]) -> np.ndarray:
+    width, raw = held
+    low = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    out = np.zeros((len(low), 8), dtype=np.uint8)
+    out[:, :width] = low
+    return out.view("<u8").ravel()
+
+
+def steps(ascending: np.ndarray) -> tuple[int, bytes]:
+    """Planes of the differences of ascending unsigned numbers."""
+    return planes(np.diff(ascending.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def from_steps(held: tuple[int, bytes]) -> np.ndarray:
+    return np.cumsum(from_planes(held), dtype=np.uint64)
 
 
 def message_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -88,11 +100,11 @@ def make(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return cut(map_batches(rows, work, f"{MESSAGE}, n_bytes long"))
 
 
-def tasks(blocks: DataFrame, task_bytes: int = TASK_BYTES) -> tuple[int, int]:
-    """How many buckets the keys of the blocks fall into, by the size of the texts; and how many tasks share the blocks."""
+def tasks(blocks: DataFrame, task_bytes: int = TASK_BYTES) -> tuple[int, int, int]:
+    """How many buckets the keys of the blocks fall into, how many tasks share the blocks, and the bytes of all texts."""
     n, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     least = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, int(total) // task_bytes), max(least, n // 2)
+    return max(least, int(total) // task_bytes), max(least, n // 4), int(total)
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple[int, int, bytes]]]:

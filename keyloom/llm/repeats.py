@@ -177,7 +177,7 @@ def _say_keys(buckets: int):  # noqa: ANN202
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             more = np.flatnonzero(n[a:b] > 1).astype(np.int32)
             rest = keys[a:b] & np.uint64((1 << _KEY_BITS) - 1)
-            out.append((int(bucket[a]), B.pack(B.planes(rest), np.packbits(many[a:b]).tobytes(), more.tobytes(), n[a:b][more].astype(np.int32).tobytes())))
+            out.append((int(bucket[a]), B.pack(B.steps(rest), np.packbits(many[a:b]).tobytes(), more.tobytes(), n[a:b][more].astype(np.int32).tobytes())))
         return out
 
     return say
@@ -190,7 +190,7 @@ def _match_keys(hot: int):  # noqa: ANN202
         keys, many, counts, sizes = [], [], [], []
         for body in bodies:
             raw, bits, more, n = B.unpack(body)
-            k = B.from_planes(raw)
+            k = B.from_steps(raw)
             c = np.ones(len(k), dtype=np.int64)
             c[np.frombuffer(more, np.int32)] = np.frombuffer(n, np.int32)
             keys.append(k)
@@ -505,7 +505,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("boolean").alias("more"))
     blocks = B.make(rows, block_bytes)
-    n, at = B.tasks(blocks)
+    n, at, _ = B.tasks(blocks)
     verdicts = B.in_buckets(B.send(blocks, _say_keys(n)), n, _match_keys(hot))
     parts = B.at_blocks(blocks, verdicts, at, _say_parts(n), B.MESSAGE)
     gone = B.in_buckets(parts, n, _compare)

@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import blocks as B
 from . import textvec
-from .common import cut, map_batches
+from .common import map_batches
 
 #: tokens that the unigram estimate counts as beside those that followed a word
 PRIOR = 100.0
@@ -48,15 +48,10 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return textvec.span_hashes(cps, starts, ends), np.searchsorted(doc_starts, starts, side="right") - 1
 
 
-def _small(counts: np.ndarray) -> np.ndarray:
-    """Counts of zero or more in the least type that holds them."""
-    return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
-
-
 class Keys:
     """Words and bigrams of a block: distinct keys, ascending, and the number of each token's word and of its bigram."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], bits: int = 64) -> None:
         hashes, self.doc = tokens([t.decode("utf-8", "surrogatepass") for t in texts])
         words, self.word = np.unique(hashes, return_inverse=True)
         self.second = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1  # tokens that have one before them
@@ -67,8 +62,9 @@ class Keys:
         pairs, self.pair = np.unique(pairs, return_inverse=True)
         self.n_words = len(words)
         keys = np.concatenate([words, pairs])
+        keys >>= np.uint64(64 - bits)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.is_word = keys[order], order < len(words)
+        self.keys = keys[order]
         self.place = np.empty(len(keys), dtype=np.int64)
         self.place[order] = np.arange(len(keys))
 
@@ -96,40 +92,97 @@ def models(ids: list, how: list[int], folds: int) -> np.ndarray:
     return np.stack([*((counted & 1) * (fold == f) for f in range(folds)), counted >> 1])
 
 
-def _say(bits: int, folds: int):  # noqa: ANN202
-    """(bucket, keys and counts) of a block, the counts by model."""
+def _by_bucket(keys: np.ndarray, shift: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Of ascending keys the buckets that their first bits name, and where each bucket that occurs begins and ends."""
+    bucket = (keys >> np.uint64(shift)).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, dtype=np.int64)
+    return bucket, list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
+def _say_words(key_bits: int, bits: int, folds: int):  # noqa: ANN202
+    """The keys of a block's words, of texts that count; and how many tokens each model counts, with one of the buckets."""
 
     def say(number: int, texts: tuple) -> list[tuple[int, bytes]]:
         ids, raw, how = texts
-        held = Keys(raw)
-        bucket = (held.keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(held.keys), dtype=np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, dtype=np.int64)
-        counts = [held.counted(w) for w in models(ids, how, folds)]
-        return [(int(bucket[a]), B.pack(B.planes(held.keys[a:b]), np.packbits(held.is_word[a:b]), *(_small(n[a:b]) for n in counts))) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        hashes, doc = tokens([t.decode("utf-8", "surrogatepass") for t in raw])
+        takes = models(ids, how, folds)
+        keys = np.unique(hashes[takes.any(axis=0)[doc]]) >> np.uint64(64 - key_bits)
+        sums = takes @ np.bincount(doc, minlength=len(ids))
+        bucket, edges = _by_bucket(keys, key_bits - bits)
+        return [(int(bucket[a]), B.pack(B.steps(keys[a:b]), sums if a == 0 else sums * 0)) for a, b in edges]
 
     return say
 
 
+def _count_words(bodies: list[bytes]) -> list[bytes | None]:
+    held = [B.unpack(body) for body in bodies]
+    size = len(np.unique(np.concatenate([B.from_steps(h[0]) for h in held])))
+    return [*[None] * len(held), B.pack(size, *sum(h[1] for h in held).tolist())]
+
+
+def _say(key_bits: int, bits: int, folds: int):  # noqa: ANN202
+    """(bucket, keys and counts) of a block. A key met once in it has one number: its fold, and whether it is marked."""
+
+    def say(number: int, texts: tuple) -> list[tuple[int, bytes]]:
+        ids, raw, how = texts
+        held = Keys(raw, key_bits)
+        bucket, edges = _by_bucket(held.keys, key_bits - bits)
+        counts = np.stack([held.counted(w) for w in models(ids, how, folds)])
+        every = counts[:-1].sum(axis=0)
+        once = (every <= 1) & (counts[-1] <= every)
+        code = np.where(every == 1, 1 + 2 * counts[:-1].argmax(axis=0) + counts[-1], 0)
+        code[~once] = 2 * folds + 1
+        out = []
+        for a, b in edges:
+            more = counts[:, a:b][:, ~once[a:b]]
+            out.append((int(bucket[a]), B.pack(B.steps(held.keys[a:b]), code[a:b].astype(np.uint8), [B.planes(n) for n in more])))
+        return out
+
+    return say
+
+
+def _counts(code: np.ndarray, more: list[tuple[int, bytes]]) -> np.ndarray:
+    """What `_say` packed: a row of counts per model."""
+    folds = len(more) - 1
+    out = np.zeros((len(more), len(code)), dtype=np.int64)
+    single = np.flatnonzero((code > 0) & (code <= 2 * folds))
+    out[(code[single].astype(np.int64) - 1) >> 1, single] = 1
+    out[-1, single] = (code[single] - 1) & 1
+    rest = np.flatnonzero(code > 2 * folds)
+    for row, held in zip(out, more, strict=True):
+        row[rest] = B.from_planes(held)
+    return out
+
+
 def _add_up(bodies: list[bytes]) -> list[bytes]:
-    """The totals of every block's keys; and, as one body more, the bucket's words: how many, and their totals."""
+    """For every block, which of its keys other blocks have too, and their totals; the totals of the rest are its own."""
     held = [B.unpack(body) for body in bodies]
-    keys = [B.from_planes(h[0]) for h in held]
+    keys = [B.from_steps(h[0]) for h in held]
+    edges = np.cumsum([0, *map(len, keys)])
+    counts = np.empty((len(held[0][2]), edges[-1]), dtype=np.int64)
+    for h, a, b in zip(held, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        counts[:, a:b] = _counts(h[1], h[2])
     whole = np.concatenate(keys)
     order = np.argsort(whole, kind="stable")  # each block's keys ascend
     k = whole[order]
     begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     times = np.diff(np.append(begin, len(k)))
-    word = np.concatenate([np.unpackbits(h[1], count=len(x)).astype(bool) for h, x in zip(held, keys, strict=True)])[order][begin]
-    edges = np.cumsum([0, *map(len, keys)])
-    totals, out, known = [], [], np.zeros(len(begin), dtype=bool)
-    for c in range(2, len(held[0])):
-        each = np.add.reduceat(np.concatenate([h[c] for h in held]).astype(np.int64)[order], begin)
-        known |= each > 0
-        totals.append(int(each[word].sum()))
-        back = np.empty(len(k), dtype=np.int64)
-        back[order] = np.repeat(each, times)
-        out.append(back)
-    return [*(B.pack(*(_small(x[a:b]) for x in out)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)), B.pack(int((word & known).sum()), *totals)]
+    shared = np.empty(len(k), dtype=bool)
+    shared[order] = np.repeat(times > 1, times)
+    for row in counts:
+        row[order] = np.repeat(np.add.reduceat(row[order], begin), times)
+    return [B.pack(b - a, np.packbits(shared[a:b]), [B.planes(row[a:b][shared[a:b]]) for row in counts]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def _totals(own: np.ndarray, replies: list[tuple]) -> np.ndarray:
+    """Totals of a block's keys by model: what the replies say, and for keys that no other block has its own counts."""
+    out, at = own.copy(), 0
+    for n, bits, rows in replies:
+        where = at + np.flatnonzero(np.unpackbits(bits, count=n))
+        for row, held in zip(out, rows, strict=True):
+            row[where] = B.from_planes(held)
+        at += n
+    return out
 
 
 def losses(held: Keys, takes: np.ndarray, totals: list[np.ndarray], size: int, sums: list[int]) -> np.ndarray:
@@ -168,9 +221,10 @@ def score(docs: DataFrame, marked: Column, counted: Column | None = None, id_col
     bytes_ = F.octet_length(F.col(text_col))
     folds, = docs.agg(F.sum(F.when(true(marked) * takes == 1, bytes_)) / F.sum(F.when(takes == 1, bytes_))).first()
     folds = int(min(FOLDS, max(1, round(1 / folds)))) if folds else 1
-    n, at = B.tasks(blocks)
+    n, at, total = B.tasks(blocks)
     bits = (n - 1).bit_length()
-    answers = cut(B.in_buckets(B.send(blocks, _say(bits, folds)), n, _add_up))
+    # of n keys, about one in 16 bytes, less than one pair is expected to meet at 2 * log2(n) bits
+    key_bits = min(64, max(40, bits + 8, 2 * (total // 16).bit_length()))
     names = ["size", *(f"sum_{m}" for m in range(folds + 1))]
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,20 +233,22 @@ def score(docs: DataFrame, marked: Column, counted: Column | None = None, id_col
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    notes = map_batches(answers.filter(F.col("block") == B.NOTE).select("body"), stats, ", ".join(f"{c} long" for c in names))
+    words = B.in_buckets(B.send(blocks, _say_words(key_bits, bits, folds)), n, _count_words)
+    notes = map_batches(words.select("body"), stats, ", ".join(f"{c} long" for c in names))
     size, *sums = (x or 0 for x in notes.agg(*(F.sum(c) for c in names)).first())
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("loss_background", "loss_target", "score"))])
 
     def use(number: int, texts: tuple, got: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         ids, raw, how = texts
-        held = Keys(raw)
-        replies = [B.unpack(body) for _, body in got]
-        totals = [np.concatenate([r[c] for r in replies]).astype(np.int64) if replies else np.empty(0, dtype=np.int64) for c in range(folds + 1)]
-        summed = losses(held, models(ids, how, folds), totals, size, sums)
+        held = Keys(raw, key_bits)
+        takes = models(ids, how, folds)
+        totals = _totals(np.stack([held.counted(w) for w in takes]), [B.unpack(body) for _, body in got])
+        summed = losses(held, takes, totals, size, sums)
         n_tokens = np.bincount(held.doc, minlength=len(ids))
         mean = summed / np.maximum(n_tokens, 1)[:, None]
         columns = [pa.array(ids, to_arrow_type(kind)), pa.array(n_tokens), pa.array(mean[:, 0].copy()), pa.array(mean[:, 1].copy()), pa.array(mean[:, 0] - mean[:, 1])]
         yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return B.at_blocks(blocks, answers.filter(F.col("block") != B.NOTE), at, use, schema)
+    answers = B.in_buckets(B.send(blocks, _say(key_bits, bits, folds)), n, _add_up)
+    return B.at_blocks(blocks, answers, at, use, schema)
