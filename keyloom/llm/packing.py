@@ -33,6 +33,9 @@ def _classes() -> np.ndarray:
     for c in range(0x21, 0x250):
         kind = unicodedata.category(chr(c))
         out[c] = {"L": 1, "N": 2}.get(kind[0], 3) if kind not in ("Cc", "Zs") else 4
+    for c in range(0x250):
+        if len(chr(c).lower()) > 1:  # its small form ends in a mark, which the tokenizer may join to what follows
+            out[c] = 4
     for c in " \t\n\r":
         out[ord(c)] = 0
     return out

@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from keyloom.llm import packing as P
 
@@ -22,6 +24,29 @@ def test_encoder_equals_the_tokenizer(docs):
     assert [x.tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+ENCODER = []
+ANY = st.text(st.characters(exclude_categories=["Cs"]), max_size=24)
+NEAR = st.text(st.sampled_from("aİıßéE\u0307\u0301.,!?'()-_ 12\n\t<|>"), max_size=24)
+
+
+@given(st.lists(st.one_of(ANY, NEAR, st.text(st.characters(max_codepoint=0x24F), max_size=24)), max_size=30))
+@settings(max_examples=150, deadline=None)
+def test_encoder_equals_the_tokenizer_on_any_text(texts):
+    if not ENCODER:
+        ENCODER.append(P.Encoder(None))
+    e = ENCODER[0]
+    assert [x.tolist() for x in e.encode(texts)] == [e.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_dotted_capital_i_and_texts_that_defeat_polynomial_hashes():
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [f"İ{c}" for c in ".!(),-?_'"] + ["xİ.y", word, word.translate(str.maketrans("ab", "ba"))]
+    t, e = tokenizer(), P.Encoder(None)
+    assert [x.tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_a_full_table_starts_anew(docs):
     texts = [r["text"] for r in docs.select("text").collect()][:20]
     t, e = tokenizer(), P.Encoder(None)
