@@ -99,30 +99,33 @@ _TEMPLATES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for
 
 _LICENSES = f"""
 WITH t AS (SELECT name, {_NORMAL} AS ws FROM (VALUES {_TEMPLATES}) v(name, text)),
-tg AS (SELECT DISTINCT name, array_to_string(ws[i:i + 4], ' ') AS g FROM t, range(1, len(ws) - 3) r(i)),
-d AS (SELECT doc_id, {_NORMAL} AS ws FROM documents),
-dg AS (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS g, min(i) AS place FROM d, range(1, len(ws) - 3) r(i) GROUP BY 1, 2),
+tl AS (SELECT name, ws, least(len(ws), 5) AS l FROM t),
+tg AS (SELECT DISTINCT name, l, array_to_string(ws[i:i + l - 1], ' ') AS g FROM tl, range(1, len(ws) - l + 2) r(i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_NORMAL} AS ws FROM documents),
+dg AS (SELECT rid, doc_id, l, array_to_string(ws[i:i + l - 1], ' ') AS g, min(i) AS place FROM d, (SELECT DISTINCT l FROM tl) ls, range(1, len(ws) - l + 2) r(i) GROUP BY 1, 2, 3, 4),
 n AS (SELECT name, count(*) AS n FROM tg GROUP BY 1)
-SELECT doc_id, name AS template, count(*)::DOUBLE / n AS containment, min(place)::BIGINT AS first_word, (max(place) + 4)::BIGINT AS last_word
-FROM dg JOIN tg USING (g) JOIN n USING (name) GROUP BY doc_id, name, n HAVING count(*) >= {licenses.LEAST} * n"""
+SELECT doc_id, name AS template, count(*)::DOUBLE / n AS containment, min(place)::BIGINT AS first_word, (max(place) + l - 1)::BIGINT AS last_word
+FROM dg JOIN tg USING (l, g) JOIN n USING (name) GROUP BY rid, doc_id, name, l, n HAVING count(*) >= {licenses.LEAST} * n"""
 
 _RULES = {"base": "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)", "symbols": "(10 * n_symbols > word_chars * 3)", "lines": "(5 * n_dup_lines > n_words)"}
-_RATE = "(k_{0} + m_{0} * c_{0}) / (n + c_{0}) > {1}"
+_LOW = "(rate_{0} - 2 * sqrt(rate_{0} * (1 - rate_{0}) / (n + c_{0} + 1)))"
 
 _QUALITY = rf"""
 WITH w AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, {_WS} AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 p AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS g FROM w, range(1, len(ws) - 3) r(i)),
-c AS (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM p),
-q AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prev FROM c WHERE n > 1),
+g AS (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM p),
+q AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prev FROM g WHERE n > 1),
 rep AS (SELECT rid, sum(least(5, i - coalesce(prev, i - 5)))::BIGINT AS n FROM q GROUP BY rid),
 f AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (rid)),
-h AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER ({rule}) AS k_{r}" for r, rule in _RULES.items())} FROM f GROUP BY 1),
-m AS (SELECT avg(n) AS a, {", ".join(f"avg(k_{r} / n) AS m_{r}, var_pop(k_{r} / n) AS v_{r}" for r in _RULES)} FROM h),
-c2 AS (SELECT *, {", ".join(f"CASE WHEN v_{r} > 0 THEN greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 1.0) ELSE a END AS c_{r}" for r in _RULES)} FROM m),
-v AS (SELECT h.source, {" OR ".join(_RATE.format(r, quality.HOST_LIMITS[r]) for r in _RULES)} AS rejected FROM h, c2)
+h AS (SELECT source, count(*)::DOUBLE AS n, {", ".join(f"count(*) FILTER ({rule})::DOUBLE AS k_{r}" for r, rule in _RULES.items())} FROM f GROUP BY 1),
+m AS (SELECT sum(n) AS nn, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room, count(*) - 1 AS between_, {", ".join(f"sum(k_{r}) / sum(n) AS m_{r}, sum(k_{r} * k_{r} / n) AS s_{r}" for r in _RULES)} FROM h),
+i AS (SELECT *, {", ".join(f"CASE WHEN m_{r} > 0 AND m_{r} < 1 AND room > 0 THEN ((s_{r} - nn * m_{r} * m_{r}) / (m_{r} * (1 - m_{r})) - between_) / room ELSE 0 END AS i_{r}" for r in _RULES)} FROM m),
+c AS (SELECT *, {", ".join(f"CASE WHEN i_{r} > 1 / (nn + 1) THEN 1 / least(i_{r}, 0.5) - 1 ELSE nn END AS c_{r}" for r in _RULES)} FROM i),
+p2 AS (SELECT *, {", ".join(f"(k_{r} + m_{r} * c_{r}) / (n + c_{r}) AS rate_{r}" for r in _RULES)} FROM h, c),
+v AS (SELECT source, {" OR ".join(f"({_LOW.format(r)} > {quality.HOST_LIMITS[r]} AND {_LOW.format(r)} > {quality.FACTOR} * m_{r})" for r in _RULES)} AS rejected FROM p2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_RULES["base"]} AS base_failed, NOT {_RULES["base"]} AND NOT rejected AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""
 

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -42,6 +43,29 @@ def test_a_bad_host_goes_and_a_small_one_is_pulled_to_the_mean(spark):
     assert got[1000]["kept"] and got[9001]["rate_base"] < 0.5 and got[9001]["kept"]
 
 
+def posterior(k, n, ks, ns):
+    """Rate and its lower bound, by the docstring's formulas."""
+    total, m = sum(ns), sum(ks) / sum(ns)
+    between = len(ns) - 1
+    room = total - sum(x * x for x in ns) / total - between
+    share = (sum(x * (y / x - m) ** 2 for y, x in zip(ks, ns, strict=True)) / (m * (1 - m)) - between) / room if 0 < m < 1 and room > 0 else 0
+    weight = 1 / min(share, 0.5) - 1 if share > 1 / (total + 1) else total
+    rate = (k + m * weight) / (n + weight)
+    return rate, rate - 2 * (rate * (1 - rate) / (n + weight + 1)) ** 0.5
+
+
+def test_rates_by_the_formulas(spark):
+    rng = random.Random(1)
+    ns, rates = [1, 2, 5, 40, 300, 7], [0.5, 0.5, 0.1, 0.6, 0.05, 0.0]
+    fails = [[rng.random() < p for _ in range(n)] for n, p in zip(ns, rates, strict=True)]
+    rows = [(f"h{h}", f) for h, some in enumerate(fails) for f in some]
+    got = {r["host"]: r for r in Q.host_rates(spark.createDataFrame(rows, "host string, bad boolean"), ["bad"]).collect()}
+    ks = [sum(f) for f in fails]
+    for h, (k, n) in enumerate(zip(ks, ns, strict=True)):
+        want = posterior(k, n, ks, ns)
+        assert abs(got[f"h{h}"]["rate_bad"] - want[0]) < 1e-9 and abs(got[f"h{h}"]["low_bad"] - want[1]) < 1e-9
+
+
 def test_empty(none):
     assert Q.judge(none).collect() == []
 
