@@ -27,6 +27,33 @@ def from_hex(text: Column) -> Column:
     return F.try_to_binary(text, F.lit("hex"))
 
 
+def must_be_hex(text: Column) -> Column:
+    """Bytes of a hex string; an error where it is not one."""
+    got = from_hex(text)
+    return F.when(text.isNotNull() & got.isNull(), F.raise_error(F.concat(F.lit("not a hex string: "), text))).otherwise(got)
+
+
+def text_hex(text: Column) -> Column:
+    """The UTF-8 bytes of a text in lower-case hex."""
+    return F.lower(F.hex(F.encode(text, "UTF-8")))
+
+
+def bytes_hex(n: Column, byte: int) -> Column:
+    """`n` times a byte, in hex."""
+    return F.repeat(F.lit(f"{byte:02x}"), n)
+
+
+def seeded_key(number: Column, seed: int, length: int = 16) -> Column:
+    """A key of `length` bytes (32 at most), in hex, that number and seed determine; of other numbers, other keys."""
+    return F.substring(F.sha2(F.concat_ws("/", F.lit(str(seed)), number.cast("string")), 256), 1, 2 * length)
+
+
+def seeded_value(number: Column, seed: int, size: int) -> Column:
+    """A value of `size` bytes that number and seed determine."""
+    block = F.sha2(F.concat_ws("/", F.lit(f"value {seed}"), number.cast("string")), 256)
+    return F.unhex(F.substring(F.repeat(block, (size + 31) // 32), 1, 2 * size))
+
+
 def starting_u32(hex_text: Column) -> Column:
     """The first four bytes of a key, given in hex, as a number; short keys are padded with zeros."""
     return F.conv(F.rpad(F.substring(hex_text, 1, 8), 8, "0"), 16, 10).cast("bigint")

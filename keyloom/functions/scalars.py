@@ -16,9 +16,17 @@ def human_bytes(n: Column) -> Column:
     return text
 
 
-def percentile_rank(n: Column, percent: int) -> Column:
-    """The 1-based rank of a percentile among n sorted values: min(n * p div 100, n - 1) + 1."""
-    return F.least(F.floor(n * percent / 100), n - 1) + 1
+def human_count(n: Column) -> Column:
+    """12, 1.50 K, 2.00 M, 3.00 G."""
+    text = F.format_string("%d", n)
+    for power, unit in ((1, "K"), (2, "M"), (3, "G")):
+        text = F.when(n >= 1000**power, F.format_string(f"%.2f {unit}", n / float(1000**power))).otherwise(text)
+    return text
+
+
+def percentile_rank(n: Column, percent: float) -> Column:
+    """The 1-based rank of a percentile among n sorted values: min(n * p div 100, n - 1) + 1, for p of up to three decimals."""
+    return F.least(F.floor(n * round(percent * 1000) / 100_000), n - 1) + 1
 
 
 def bloom_bits(items: int, rate: float) -> int:

@@ -42,18 +42,34 @@ def shard_bounds(df: DataFrame, key: str, shards: int) -> DataFrame:
     return starts.join(F.broadcast(top)).select("shard", "lo", ends.alias("hi"))  # one row
 
 
+def _last_shard(probes: DataFrame, key: str, shards: DataFrame) -> DataFrame:
+    """Probes with lo, hi and shard of the shard of the largest lo at or below the key, null if there is none.
+
+    Shards and probes are dealt out together by range of lo and key; within a range the last shard before a probe is its
+    own, and each range learns the last shard of the ranges before it. Neither side needs to be small.
+    """
+    marks = shards.select(F.col("lo").cast("long").alias("at"), F.lit(0).alias("probe"), F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.col("shard").cast("long").alias("shard")).alias("of"), F.lit(None).cast(probes.schema).alias("row"))
+    asked = probes.select(F.col(key).cast("long").alias("at"), F.lit(1).alias("probe"), F.lit(None).cast(marks.schema["of"].dataType).alias("of"), F.struct(*probes.columns).alias("row"))
+    placed = scan.in_ranges(marks.unionByName(asked), F.asc("at"), F.asc("probe"))
+    inside = Window.partitionBy("range_part").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    tops = placed.groupBy("range_part").agg(F.max("of").alias("top"))  # one row per range; structs compare by lo
+    before = Window.orderBy("range_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select("range_part", F.max("top").over(before).alias("carried"))
+    found = placed.withColumn("mine", F.last("of", ignorenulls=True).over(inside)).join(F.broadcast(carried), "range_part")
+    return found.filter("probe = 1").select("row.*", F.coalesce("mine", "carried").alias("of"))
+
+
 def covering_shard(probes: DataFrame, key: str, shards: DataFrame) -> DataFrame:
-    """Probes with the shard whose [lo, hi] covers them; `shards` is the bounded shard list of one cell."""
-    return probes.join(F.broadcast(shards), F.col(key).between(F.col("lo"), F.col("hi")))
+    """Probes with the shard whose [lo, hi] covers them; shards do not overlap."""
+    found = _last_shard(probes, key, shards).filter(F.col(key) <= F.col("of.hi"))
+    return found.select(*probes.columns, F.col("of.lo").alias("lo"), F.col("of.hi").alias("hi"), F.col("of.shard").alias("shard"))
 
 
 def owning_shard(probes: DataFrame, key: str, shards: DataFrame) -> DataFrame:
     """Probes with the shard of the largest lo at or below the key; keys below all go to the first."""
-    # searched in an array: the list is one cell's shards, and every probe meets it once
-    packed = shards.agg(F.array_sort(F.collect_list(F.struct("lo", "shard"))).alias("list"))
-    below = F.filter("list", lambda s: s["lo"] <= F.col(key))
-    chosen = F.when(F.size(below) > 0, F.element_at(below, -1)["shard"]).otherwise(F.element_at("list", 1)["shard"])
-    return probes.crossJoin(F.broadcast(packed)).withColumn("shard", chosen).drop("list")  # one row
+    first = shards.agg(F.min_by("shard", "lo").cast("long").alias("first_shard"))  # one row
+    found = _last_shard(probes, key, shards).join(F.broadcast(first))
+    return found.select(*probes.columns, F.coalesce("of.shard", "first_shard").alias("shard"))
 
 
 def occupancy(entries: DataFrame, file: Column, size: Column, file_size: Column) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import state
+from . import scan, state
 
 
 def drop_range(log: DataFrame, first: str, last: str, at: int) -> DataFrame:
@@ -27,18 +26,16 @@ def newest_of_prefix(df: DataFrame, prefix: list[str], order: list[str]) -> Data
     return best.select(*prefix, *(F.col(f"b.{c}").alias(c) for c in rest))
 
 
-def compact(state_rows: DataFrame, cell: str, retain: Callable[[list[str]], set[str]], key: str = "k") -> DataFrame:
-    """A compactor callback: sees a cell's live keys in order and names those to keep. Tombstones are not shown, and stay.
+def compact(state_rows: DataFrame, cell: str, keep: Callable[[Column, Column], Column], key: str = "k") -> DataFrame:
+    """A compactor: which of a cell's live keys stay, by their place in key order. Tombstones are not counted, and stay.
 
-    A cell is a bounded shard of the key range; a callback needs all of its keys.
+    `keep(place, n)` gives a condition from a key's place, from 1, and the number of live keys in its cell; it may name
+    the state's own columns too. Only keys are dealt out by range to be numbered, so a cell may be of any size.
     """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        shown = rows[rows["kind"] == "record"]
-        kept = retain(sorted(shown[key]))
-        return rows[(rows["kind"] != "record") | rows[key].isin(kept)]
-
-    return state_rows.groupBy(cell).applyInPandas(one, state_rows.schema)
+    shown = state_rows.filter("kind = 'record'")
+    placed = scan.places(shown.select(cell, key), [cell], [F.asc(key)], F.lit(1), "place")
+    kept = shown.join(placed, [cell, key]).filter(keep(F.col("place"), F.col("place_all"))).select(*state_rows.columns)
+    return kept.unionByName(state_rows.filter("kind <> 'record'"))
 
 
 def relocate_by_log(log: DataFrame, keys: list[str], decide: Column, filtered: Column) -> DataFrame:

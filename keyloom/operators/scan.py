@@ -21,26 +21,42 @@ def ordered(state: DataFrame, reverse: bool = False, key: str = "k") -> DataFram
     return state.orderBy(F.desc(key) if reverse else F.asc(key))
 
 
-def running_sum(df: DataFrame, order: Column, value: Column, name: str) -> DataFrame:
+def in_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """`df` dealt out by range of a total order, checkpointed, with `range_part`, the number of each row's range."""
+    return cut(df.repartitionByRange(*order).withColumn("range_part", F.spark_partition_id()))
+
+
+def running_sum(df: DataFrame, order: Column | list[Column], value: Column, name: str) -> DataFrame:
     """`df` with the sum of `value` over all rows up to each in `order`, which must be total.
 
     Rows are dealt out by range and summed within their partitions; the partitions' totals, one row each, give what
     lies ahead. No task sees all rows. The dealt rows are checkpointed: both uses must see the same ranges.
     """
-    placed = cut(df.repartitionByRange(order).withColumn("part_of_range", F.spark_partition_id()))
-    inside = placed.withColumn(name, F.sum(value).over(Window.partitionBy("part_of_range").orderBy(order)))
-    totals = placed.groupBy("part_of_range").agg(F.sum(value).alias("total_of_range"))
-    ahead = F.sum("total_of_range").over(Window.orderBy("part_of_range").rowsBetween(Window.unboundedPreceding, -1))
-    first = totals.select("part_of_range", F.coalesce(ahead, F.lit(0)).alias("ahead_of_range"))
-    return inside.join(first, "part_of_range").withColumn(name, F.col(name) + F.col("ahead_of_range")).drop("part_of_range", "ahead_of_range")
+    order = order if isinstance(order, list) else [order]
+    placed = in_ranges(df, *order)
+    inside = placed.withColumn(name, F.sum(value).over(Window.partitionBy("range_part").orderBy(*order)))
+    totals = placed.groupBy("range_part").agg(F.sum(value).alias("total_of_range"))
+    ahead = F.sum("total_of_range").over(Window.orderBy("range_part").rowsBetween(Window.unboundedPreceding, -1))
+    first = totals.select("range_part", F.coalesce(ahead, F.lit(0)).alias("ahead_of_range"))
+    return inside.join(first, "range_part").withColumn(name, F.col(name) + F.col("ahead_of_range")).drop("range_part", "ahead_of_range")
+
+
+def places(df: DataFrame, by: list[str], order: list[Column], weight: Column, name: str) -> DataFrame:
+    """`df` with, within its group `by`, the sum of `weight` up to each row as `name`, and the group's sum as `<name>_all`.
+
+    `order` must be total within a group. However large a group is, its rows are dealt out by range.
+    """
+    upto = running_sum(df.withColumn("weight_of_row", weight.cast("long")), [*(F.asc(c) for c in by), *order], F.col("weight_of_row"), name)
+    groups = upto.groupBy(*by).agg(F.min(F.col(name) - F.col("weight_of_row")).alias("ahead_of_group"), F.sum("weight_of_row").alias(f"{name}_all"))
+    return upto.join(groups, by).withColumn(name, F.col(name) - F.col("ahead_of_group")).drop("ahead_of_group", "weight_of_row")
 
 
 def ranked(state: DataFrame, by: list[str] | None = None, reverse: bool = False, key: str = "k") -> DataFrame:
-    """`state` with `pos`, the place in key order within `by`, or in the whole table."""
+    """`state` with `pos`, the place in the order of `key`, unique in `by` or in the whole table; only keys are numbered."""
     order = F.desc(key) if reverse else F.asc(key)
-    if by:
-        return state.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long"))
-    return running_sum(state, order, F.lit(1).cast("long"), "pos")
+    names = [*(by or []), key]
+    numbered = places(state.select(*names), by, [order], F.lit(1), "pos").drop("pos_all") if by else running_sum(state.select(key), order, F.lit(1).cast("long"), "pos")
+    return numbered if set(state.columns) == set(names) else state.join(numbered, names)
 
 
 def get(state: DataFrame, key_value: str, key: str = "k") -> DataFrame:
@@ -67,9 +83,21 @@ def less_than(state: DataFrame, bound: str, n: int, key: str = "k") -> DataFrame
 
 
 def neighbours(state: DataFrame, by: list[str], key: str = "k") -> DataFrame:
-    """Each key with the one before and the one after it, within `by`."""
-    w = Window.partitionBy(*by).orderBy(key)
-    return state.select(*by, key, F.lag(key).over(w).alias("prev_key"), F.lead(key).over(w).alias("next_key"))
+    """Each key with the one before and the one after it, within `by`; keys are dealt out by range, however many there are.
+
+    Only the first and the last key of each range travel to the ranges beside it.
+    """
+    names = [*by, key]
+    placed = in_ranges(state.select(*names), *(F.asc(c) for c in names))
+    inside = Window.partitionBy("range_part").orderBy(*names)
+    here = F.struct(*names)
+    ends = placed.groupBy("range_part").agg(F.min(here).alias("low"), F.max(here).alias("high"))  # one row per range
+    parts = Window.orderBy("range_part")
+    beside = ends.select("range_part", F.lag("high").over(parts).alias("ahead"), F.lead("low").over(parts).alias("behind"))
+    both = placed.withColumn("lag", F.lag(here).over(inside)).withColumn("lead", F.lead(here).over(inside)).join(F.broadcast(beside), "range_part")
+    of = lambda c: F.when(F.struct(*(F.col(f"{c}.{n}") for n in by)) == F.struct(*by), F.col(f"{c}.{key}")) if by else F.col(f"{c}.{key}")
+    both = both.withColumn("before", F.coalesce("lag", "ahead")).withColumn("after", F.coalesce("lead", "behind"))
+    return both.select(*names, of("before").alias("prev_key"), of("after").alias("next_key"))
 
 
 def cell_range(state: DataFrame, lower: bytes, upper: bytes, cells: int, key: str = "k", cell: str = "cell") -> DataFrame:

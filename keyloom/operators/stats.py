@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keyloom.functions import scalars
+from keyloom.operators import scan
 
 PERCENTS = (10, 50, 90, 99)
 
@@ -31,18 +32,39 @@ def sizes(log: DataFrame, key_size: str, value_size: str) -> DataFrame:
     )
 
 
-def distribution(df: DataFrame, by: list[str], value: str, percents: tuple[int, ...] = PERCENTS) -> DataFrame:
+def percentile_name(p: float) -> str:
+    """p50, p99, p99_999."""
+    return f"p{p:g}".replace(".", "_")
+
+
+def distribution(df: DataFrame, by: list[str], value: str, percents: tuple[float, ...] = PERCENTS) -> DataFrame:
     """Count, sum, whole average, least, most and exact percentiles (rank min(n * p div 100, n - 1)) of whole numbers.
 
-    Values are counted first, so what is sorted per group is its distinct values with their counts.
+    Values are counted first; the distinct ones of all groups are dealt out by range, so a group may have any number.
     """
     counts = df.groupBy(*by, F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by)
-    upto = counts.withColumn("upto", F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-    pick = lambda p: F.min(F.when(F.col("upto") >= scalars.percentile_rank(F.col("n"), p), F.col("x"))).cast("long").alias(f"p{p}")
+    upto = scan.places(counts, by, [F.asc("x")], F.col("c"), "upto")
+    pick = lambda p: F.min(F.when(F.col("upto") >= scalars.percentile_rank(F.col("upto_all"), p), F.col("x"))).cast("long").alias(percentile_name(p))
     return upto.groupBy(*by).agg(F.sum("c").cast("long").alias("n"), F.sum(F.col("x") * F.col("c")).cast("long").alias("total"), F.floor(F.sum(F.col("x") * F.col("c")) / F.sum("c")).cast("long").alias("mean"), F.min("x").cast("long").alias("least"), F.max("x").cast("long").alias("most"), *(pick(p) for p in percents))
 
 
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The exact median of each group: the middle value, or the mean of the two in the middle; nulls do not count."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    upto = scan.places(counts, by, [F.asc("x")], F.col("c"), "upto")
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("x")))
+    n = F.col("upto_all")
+    return upto.groupBy(*by).agg(((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median"))
+
+
+def throughput(df: DataFrame, by: list[str], at: str, size: str) -> DataFrame:
+    """Operations and bytes a second of each group, from its first to its last time; null if these are one."""
+    at_micros = F.unix_micros(F.col(at).cast("timestamp"))
+    span = F.max(at_micros) - F.min(at_micros)
+    rate = lambda x: F.when(span > 0, x * 1_000_000.0 / span)
+    return df.groupBy(*by).agg(rate(F.count(F.lit(1))).alias("ops_per_second"), rate(F.sum(size)).alias("bytes_per_second"))
+
+
 def verify(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """How many live keys of the log a state has, lacks, and has beside them."""
     e, f = expected.select(*keys).distinct().withColumn("e", F.lit(1)), found.select(*keys).distinct().withColumn("f", F.lit(1))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from keyloom.functions import keys, scalars
 from keyloom.operators import batches, levels, retention, scan, state, stats
+from keyloom.operators.lineage import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -352,7 +353,7 @@ def compactor(spark, sf):
 @query(f"WITH {LIVE}, c AS (SELECT *, {CELL} AS cell, row_number() OVER (PARTITION BY {CELL}, kind ORDER BY k DESC) AS nth FROM live) SELECT cell, k, off, kind FROM c WHERE kind = 'remove' OR nth <= 2")
 def compactor_callback(spark, sf):
     rows = state.newest(log(spark, sf).select("off", "k", "kind"), ["k"]).select(keys.uniform_cell(F.md5("k"), 64).alias("cell"), "k", "off", "kind")
-    return retention.compact(rows, "cell", lambda shown: set(shown[-2:]))
+    return retention.compact(rows, "cell", lambda place, n: place > n - 2)
 
 
 @query(f"WITH {LIVE} SELECT k, off, v FROM st WHERE NOT v < 10")
@@ -483,8 +484,9 @@ def log_gc(spark, sf):
 
 @query()
 def list_files(spark, sf):
-    d = spark.read.parquet(f"{sf}/events.parquet").select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("created"))
-    return d.distinct()
+    from keyloom.sources import store
+
+    return store.list_files(spark, sf, "events.parquet")
 
 
 @query("""WITH p AS (SELECT doc_id, ((strlen(text) + 8 + 7) // 8) * 8 AS len, sum(((strlen(text) + 8 + 7) // 8) * 8) OVER (ORDER BY doc_id) AS stop FROM documents)
@@ -522,8 +524,8 @@ def wal_stats_sizes(spark, sf):
     return stats.sizes(sized(spark, sf), "key_size", "value_size")
 
 
-def _dist(by: str, value: str, source: str) -> str:
-    picks = ", ".join(f"max(x) FILTER (r = least(n * {p} // 100, n - 1) + 1)::BIGINT AS p{p}" for p in stats.PERCENTS)
+def _dist(by: str, value: str, source: str, percents: tuple[float, ...] = stats.PERCENTS) -> str:
+    picks = ", ".join(f"max(x) FILTER (r = least(n * {round(p * 1000)} // 100000, n - 1) + 1)::BIGINT AS {stats.percentile_name(p)}" for p in percents)
     return f"WITH q AS (SELECT {by}, {value} AS x, row_number() OVER (PARTITION BY {by} ORDER BY {value}) AS r, count(*) OVER (PARTITION BY {by}) AS n FROM {source}) SELECT {by}, max(n)::BIGINT AS n, sum(x)::BIGINT AS total, (sum(x) // max(n))::BIGINT AS mean, min(x)::BIGINT AS least, max(x)::BIGINT AS most, {picks} FROM q GROUP BY {by}"
 
 
@@ -532,10 +534,20 @@ def analyze_ks(spark, sf):
     return stats.distribution(table(spark, sf, "documents"), ["source"], "n_chars")
 
 
-@query(_dist("event_type", "strlen(props)", "events"))
+TAIL = (50, 90, 99, 99.9, 99.99, 99.999)
+
+
+@query(_dist("event_type", "strlen(props)", "events", TAIL))
 def latency_quantiles(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.octet_length("props").alias("x"))
-    return stats.distribution(e, ["event_type"], "x")
+    return stats.distribution(e, ["event_type"], "x", TAIL)
+
+
+@query("SELECT event_type, round(count(*) * 1000000.0 / (epoch_us(max(ts)) - epoch_us(min(ts))), 9) AS ops_per_second, round(sum(strlen(props)) * 1000000.0 / (epoch_us(max(ts)) - epoch_us(min(ts))), 9) AS bytes_per_second FROM events GROUP BY 1")
+def throughput(spark, sf):
+    e = table(spark, sf, "events").select("event_type", "ts", F.octet_length("props").alias("x"))
+    got = stats.throughput(e, ["event_type"], "ts", "x")
+    return got.select("event_type", *(F.round(c, 9).alias(c) for c in ("ops_per_second", "bytes_per_second")))
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
@@ -632,7 +644,7 @@ def bench_pivot(spark, sf):
 
 @query("SELECT event_type, median(value) AS median FROM events GROUP BY 1")
 def bench_median(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.median("value").alias("median"))
+    return stats.medians(table(spark, sf, "events"), ["event_type"], "value")
 
 
 @query(f"WITH {LIVE} SELECT ks, count(*) AS n, ceil(-count(*) * ln(0.01) / (ln(2.0) * ln(2.0)))::BIGINT AS bits FROM st GROUP BY 1")
@@ -702,37 +714,81 @@ def reconcile_shape(spark, sf):
 # writing and streaming: rows that went through files and came back
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
+def _store(spark: SparkSession, sf: str):  # noqa: ANN202
+    """A store of the whole log in two commits, the older half of the offsets and the newer."""
+    from keyloom.sources.registry import KeySpace
+    from keyloom.sources.store import Store
 
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+    rows = log(spark, sf)
+    low, high = rows.agg(F.min("off"), F.max("off")).first()
+    writes = rows.select("ks", "k", F.col("off").cast("string").cast("binary").alias("v"), "kind", F.col("off").alias("nth"))
+    names = sorted(r["ks"] for r in rows.select("ks").distinct().collect())  # key spaces
+    made = Store.create(spark, new_folder(spark, "store"), [KeySpace(n, key_length=8) for n in names])
+    made.commit(state.as_of(writes, (low + high) // 2, "nth"))
+    made.commit(state.not_yet(writes, (low + high) // 2, "nth"))
+    return made, names
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """What a store's row says of where it came from: its value is its offset in `events`."""
+    return rows.select("ks", "k", F.col("v").cast("string").cast("long").alias("off"))
 
 
-@query(f"WITH {LIVE} SELECT ks, k FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY ks, k ORDER BY off DESC) = 1) WHERE kind = 'record'")
+NEWEST = "newest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY ks, k ORDER BY off DESC) = 1)"
+
+
+@query(f"WITH {LOG} SELECT ks, k FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY ks, k ORDER BY off DESC) = 1) WHERE kind = 'record'")
 def batch_commit(spark, sf):
-    from keyloom.sources.registry import KeySpace
+    made, _ = _store(spark, sf)
+    return state.live(made.log(), ["ks", "k"]).select("ks", "k")
+
+
+@query(f"WITH {LOG}, {NEWEST} SELECT ks, k, off FROM newest WHERE kind = 'record'")
+def store_compact(spark, sf):
+    made, _ = _store(spark, sf)
+    return _held(made.compacted(new_folder(spark, "compacted")).log())
+
+
+@query(f"WITH {LOG}, {NEWEST} SELECT ks, k, off FROM newest WHERE kind = 'record' AND NOT (ks = (SELECT min(ks) FROM log) AND off % 2 = 1)")
+def store_relocate(spark, sf):
+    made, names = _store(spark, sf)
+    odd = F.col("v").cast("string").cast("long") % 2 == 1
+    return _held(made.relocated(names[0], F.when(odd, "remove").otherwise("keep"), new_folder(spark, "relocated")).log())
+
+
+@query(f"WITH {LOG}, {NEWEST}, live AS (SELECT ks, count(*) AS n FROM newest WHERE kind = 'record' GROUP BY 1) SELECT DISTINCT log.ks, coalesce(n, 0)::BIGINT AS total, 0::BIGINT AS lacking, 0::BIGINT AS surplus, true AS ok FROM log LEFT JOIN live USING (ks)")
+def store_verify(spark, sf):
+    made, names = _store(spark, sf)
+    rows = [(n, *made.verify(n).values()) for n in names]  # one row per key space
+    return spark.createDataFrame(rows, "ks string, total long, lacking long, surplus long, ok boolean")
+
+
+@query(f"WITH {LOG}, {NEWEST} SELECT ks, k, off FROM newest WHERE kind = 'record'")
+def store_retained(spark, sf):
+    """Key spaces that are not declared while the store is compacted come back whole."""
     from keyloom.sources.store import Store
 
-    rows = log(spark, sf)
-    writes = rows.select("ks", "k", F.col("props").cast("binary").alias("v"), "kind", F.col("off").alias("nth"))
-    names = [r["ks"] for r in rows.select("ks").distinct().collect()]  # key spaces
-    store = Store.create(spark, _folder(spark, "store"), [KeySpace(n, key_length=8) for n in sorted(names)])
-    store.commit(state.as_of(writes, 5000, "nth"))
-    store.commit(state.not_yet(writes, 5000, "nth"))
-    return state.live(store.log(), ["ks", "k"]).select("ks", "k")
+    made, names = _store(spark, sf)
+    spaces = [s for s in made.spaces if s.name != names[0]]
+    other = Store.open(spark, made.root, spaces).compacted(new_folder(spark, "compacted"))
+    return _held(Store.open(spark, other.root, made.spaces).log())
+
+
+@query(f"WITH {LOG}, {NEWEST} SELECT ks, k, off FROM newest WHERE kind = 'record'")
+def store_recovered(spark, sf):
+    """A snapshot of the first commit and the log's tail give what the whole log gives."""
+    made, _ = _store(spark, sf)
+    first = made.copied(new_folder(spark, "first"), 1)
+    folder = new_folder(spark, "snapshot")
+    return _held(made.recovered(folder, first.snapshot(folder)))
 
 
 @query(f"WITH {LIVE} SELECT k, off, kind FROM live")
 def stream_live_state(spark, sf):
-    import uuid
-
     from keyloom.streaming import live
 
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = live.read_files(spark, sf, schema, glob="events.parquet")
     kind = F.when(F.col("event_type") == "error", "remove").otherwise("record")
     rows = stream.select(F.col("event_id").alias("off"), keys.hex_key(F.col("user_id")).alias("k"), kind.alias("kind"))
-    name = f"live_{uuid.uuid4().hex}"
-    live.run_available(live.newest(rows), name, _folder(spark, "stream"))
-    return spark.table(name).select("k", "off", "kind")
+    return live.keep_newest(rows, new_folder(spark, "state"), new_folder(spark, "stream")).select("k", "off", "kind")

@@ -1,16 +1,15 @@
-"""A store: an append-only log in Parquet, and manifests that say which commits make up a version.
+"""A change log kept as a plain Parquet table, and the Spark jobs that users of such a log run over it.
 
-A commit writes its rows to a folder of its own, then publishes the next manifest by creating a file that must not
-exist; readers see a commit from then on, whole, for all key spaces. Versions are immutable, so a reader that holds one
-sees it unchanged. Files that no kept version names are removed by `vacuum`, after the manifest that drops them.
-All file work goes through Hadoop's file system interface, on any store that Spark can write.
+A commit is a folder of the table, written by one Spark job; it counts once Spark has marked it as complete, whole, for
+all key spaces. Folders are never changed, so a version is a number of commits, and reading an older one is a filter.
+Dropped ranges and destroyed key spaces are entries of the log like others. Compaction, relocation and copies write a
+new table and leave the old one as it is. Whoever needs several writers at a time, or the swap of one table for another
+in place, puts a table format under it; none is built here.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,115 +18,50 @@ from pyspark.sql.window import Window
 
 from keyloom.functions import keys
 from keyloom.operators import retention, scan, state, stats
+from keyloom.operators.lineage import cut, small
 from keyloom.sources.registry import KeySpace, from_json, reconcile, to_json
 
 LOG = T.StructType([T.StructField("ks", T.StringType()), T.StructField("off", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("k", T.StringType()), T.StructField("v", T.BinaryType())])
-FORMAT = 2
+#: above every key in hex
+TOP = "g"
 
 
-class Files:
-    """The few file operations that a store needs."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.jvm = spark.sparkContext._jvm
-        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self.root = root
-
-    def path(self, name: str = ""):  # noqa: ANN201
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-
-    def fs(self):  # noqa: ANN201
-        return self.path().getFileSystem(self.conf)
-
-    def read(self, name: str) -> str:
-        stream = self.fs().open(self.path(name))
-        try:
-            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        finally:
-            stream.close()
-
-    def create(self, name: str, text: str, overwrite: bool = False) -> None:
-        """Write a file at once: to another name, then renamed; fails if it exists and may not be replaced."""
-        fs, temp = self.fs(), self.path(f"{name}.{uuid.uuid4().hex}")
-        out = fs.create(temp, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if overwrite and fs.exists(self.path(name)):
-            fs.delete(self.path(name), False)
-        if fs.exists(self.path(name)) or not fs.rename(temp, self.path(name)):
-            fs.delete(temp, False)
-            raise FileExistsError(name)
-
-    def list(self, name: str) -> list[str]:
-        fs = self.fs()
-        return sorted(s.getPath().getName() for s in fs.listStatus(self.path(name))) if fs.exists(self.path(name)) else []
-
-    def delete(self, name: str = "") -> bool:
-        return self.fs().delete(self.path(name), True)
-
-    def exists(self, name: str) -> bool:
-        return self.fs().exists(self.path(name))
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root, self.files = spark, root, Files(spark, root)
-        self.spaces = from_json(json.loads(self.files.read("registry.json")))
+        self.spark, self.root = spark, root.rstrip("/")
+        held = json.loads(spark.read.text(f"{self.root}/spaces", wholetext=True).first()[0])
+        self.spaces, self.settings = from_json(held["spaces"]), held["settings"]
 
     # opening and lifecycle
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, spaces: list[KeySpace]) -> Store:
-        files = Files(spark, root)
-        if files.exists("registry.json"):
-            raise FileExistsError(root)
-        files.create("registry.json", json.dumps(to_json(reconcile([], spaces))))
-        files.create("manifest/00000000.json", json.dumps({"format": FORMAT, "version": 0, "next_off": 0, "commits": [], "drops": []}))
+    def create(cls, spark: SparkSession, root: str, spaces: list[KeySpace], settings: dict | None = None) -> Store:
+        """A new store; fails if there is one. `settings` stay with it: `codec` of its files, and what its users add."""
+        cls._describe(spark, root, reconcile([], spaces), settings or {}, "errorifexists")
         return cls(spark, root)
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, spaces: list[KeySpace]) -> Store:
         """The store with `spaces` declared; others are kept but hidden."""
         store = cls(spark, root)
-        with store.lock():
-            store._register(reconcile(store.spaces, spaces))
+        store.spaces = reconcile(store.spaces, spaces)
+        cls._describe(spark, root, store.spaces, store.settings, "overwrite")
         return store
 
-    @classmethod
-    def drop(cls, spark: SparkSession, root: str) -> None:
-        store = cls(spark, root)
-        with store.lock():
-            pass
-        store.files.delete()
-
-    @contextmanager
-    def lock(self):  # noqa: ANN201
-        """One writer of registry and manifests at a time."""
-        self.files.create("lock", "held")
-        try:
-            yield
-        finally:
-            self.files.delete("lock")
-
-    def _register(self, spaces: list[KeySpace]) -> None:
-        self.spaces = spaces
-        self.files.create("registry.json", json.dumps(to_json(spaces)), overwrite=True)
-
-    def configure(self, **settings: object) -> dict:
-        """Keep settings with the store, for all who open it: `codec` of log files, and whatever its users add."""
-        held = {**self.config(), **settings}
-        self.files.create("config.json", json.dumps(held), overwrite=True)
-        return held
-
-    def config(self) -> dict:
-        return json.loads(self.files.read("config.json")) if self.files.exists("config.json") else {}
-
-    @property
-    def name(self) -> str:
-        return self.root.rstrip("/").rpartition("/")[2]
-
-    def _write(self, rows: DataFrame, folder: str) -> None:
-        rows.write.option("compression", self.config().get("codec", "zstd")).parquet(f"{self.root}/{folder}")
+    @staticmethod
+    def _describe(spark: SparkSession, root: str, spaces: list[KeySpace], settings: dict, mode: str) -> None:
+        text = json.dumps({"spaces": to_json(spaces), "settings": settings})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{root.rstrip('/')}/spaces")
+
+    def drop(self) -> None:
+        fs, path = _folder(self.spark, self.root)
+        fs.delete(path, True)
 
     def space(self, name: str | int) -> KeySpace:
         for s in self.spaces:
@@ -135,43 +69,68 @@ class Store:
                 return s
         raise KeyError(f"no key space {name!r}")
 
-    # manifests
+    # versions
 
-    def versions(self) -> list[int]:
-        return [int(n[:8]) for n in self.files.list("manifest") if n.endswith(".json")]
+    def commits(self) -> list[str]:
+        """Folders of complete commits, oldest first."""
+        fs, path = _folder(self.spark, f"{self.root}/log")
+        if not fs.exists(path):
+            return []
+        names = sorted(s.getPath().getName() for s in fs.listStatus(path))
+        return [n for n in names if fs.exists(_folder(self.spark, f"{self.root}/log/{n}/_SUCCESS")[1])]
 
-    def manifest(self, version: int | None = None) -> dict:
-        m = json.loads(self.files.read(f"manifest/{max(self.versions()) if version is None else version:08d}.json"))
-        if m.get("format", 1) < 2:  # the first format had no drops
-            m = {**m, "format": FORMAT, "drops": []}
-        return m
+    def version(self) -> int:
+        return len(self.commits())
 
-    def _publish(self, m: dict) -> int:
-        m = {**m, "version": m["version"] + 1}
-        self.files.create(f"manifest/{m['version']:08d}.json", json.dumps(m))
-        return m["version"]
+    def is_empty(self) -> bool:
+        return not self.commits()
+
+    def _read(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(LOG).parquet(*(f"{self.root}/log/{n}" for n in names)) if names else self.spark.createDataFrame([], LOG)
+
+    def frontier(self) -> int:
+        """The offset that the next commit begins with."""
+        names = self.commits()
+        top = self._read(names[-1:]).agg(F.max("off")).first()[0] if names else None
+        return 0 if top is None else top + 1
 
     # writing
 
-    def commit(self, writes: DataFrame) -> int:
-        """Append rows (ks, k in hex, v, kind, nth) in one atomic step; of a key's writes the highest nth stays."""
-        for s in {r["ks"] for r in writes.select("ks").distinct().collect()}:  # names of key spaces
-            self._check_keys(writes.filter(F.col("ks") == s), self.space(s))
-        with self.lock():
-            m = self.manifest()
-            once = state.newest(writes, ["ks", "k"], "nth")
-            staged = f"log/{m['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-            # offsets: unique and above all earlier ones; within a commit no key has two, so their order is free
-            rows = once.select("ks", (F.monotonically_increasing_id() + F.lit(m["next_off"])).alias("off"), "kind", "k", F.col("v").cast("binary").alias("v"))
-            self._write(rows, staged)
-            most = self.spark.read.schema(LOG).parquet(f"{self.root}/{staged}").agg(F.max("off")).first()[0]
-            return self._publish({**m, "next_off": (most if most is not None else m["next_off"] - 1) + 1, "commits": [*m["commits"], staged]})
-
-    def _check_keys(self, rows: DataFrame, space: KeySpace) -> None:
-        bytes_ = F.length("k") / 2
-        wrong = bytes_ != space.key_length if space.indexing in ("fixed", "reduction") and space.key_length else bytes_ > 65535
-        if rows.filter(wrong).limit(1).count():
-            raise ValueError(f"{space.name}: a key has the wrong length")
+    def commit(self, writes: DataFrame, source: str = "", batch: int | None = None) -> int:
+        """Append rows (ks, k in hex, v, kind, nth) in one step; of a key's writes the highest nth stays. The new version.
+
+        A commit with a batch number is made once: if that source's batch is there, nothing is written, and what an
+        attempt that failed has left is written over. So a stream that repeats its last batch commits it once.
+        """
+        names = self.commits()
+        mark = f".{source}.{batch}" if batch is not None else ""
+        if mark and any(n.endswith(mark) for n in names):
+            return len(names)
+        self._check(writes)
+        once = cut(state.newest(writes, ["ks", "k"], "nth").select("ks", "kind", "k", F.col("v").cast("binary").alias("v"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row")))
+        runs = once.groupBy("part").count()  # a row per partition
+        ahead = runs.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("ahead"))
+        rows = once.join(F.broadcast(ahead), "part").withColumn("off", F.col("row") + F.col("ahead") + F.lit(self.frontier()))
+        return self._append(rows, mark)
+
+    def _append(self, rows: DataFrame, mark: str = "") -> int:
+        names = self.commits()
+        folder = f"{self.root}/log/{int(names[-1][:8]) + 1 if names else 0:08d}{mark}"
+        rows.select(*LOG.names).write.mode("overwrite").option("compression", self.settings.get("codec", "zstd")).parquet(folder)
+        return len(names) + 1
+
+    def _check(self, writes: DataFrame) -> None:
+        """Every write's key space is declared and its key as long as that one says: one pass over the writes."""
+        shown = [s for s in self.spaces if s.state == "declared"]
+        right = F.lit(None).cast("boolean")
+        for s in shown:
+            fits = F.length("k") == 2 * s.key_length if s.indexing in ("fixed", "reduction") and s.key_length else F.length("k") <= 2 * 65535
+            right = F.when(F.col("ks") == s.name, fits).otherwise(right)
+        unknown, wrong = writes.agg(F.min(F.when(right.isNull(), F.col("ks"))), F.min(F.when(~right, F.col("ks")))).first()
+        if unknown is not None:
+            raise KeyError(f"no key space {unknown!r}")
+        if wrong is not None:
+            raise ValueError(f"{wrong}: a key has the wrong length")
 
     def batch(self) -> Batch:
         return Batch(self)
@@ -182,40 +141,47 @@ class Store:
     def remove(self, ks: str, key: bytes) -> int:
         return self.batch().delete(ks, key).commit()
 
+    def _entry(self, ks: str, first: str, last: str) -> int:
+        row = (ks, self.frontier(), "drop", first, bytearray(last.encode()))
+        return self._append(self.spark.createDataFrame([row], LOG))
+
     def drop_cells(self, ks: str, first: bytes, last: bytes) -> int:
         """Drop whole cells: `first` and `last` must be the first and the last key of cells."""
         s = self.space(ks)
         low, high = keys.uniform_cell_of(first, s.cells), keys.uniform_cell_of(last, s.cells)
         if keys.uniform_cell_range(low, s.cells, len(first))[0] != first or keys.uniform_cell_range(high, s.cells, len(last))[1] != last:
             raise ValueError("both ends must be edges of cells")
-        with self.lock():
-            m = self.manifest()
-            return self._publish({**m, "drops": [*m["drops"], {"ks": ks, "first": first.hex(), "last": last.hex(), "at": m["next_off"]}]})
+        return self._entry(ks, first.hex(), last.hex())
 
-    def destroy(self, ks: str) -> None:
-        with self.lock():
-            s = self.space(ks)
-            self._register([KeySpace(**{**row, "state": "destroyed"}) if row["id"] == s.id else KeySpace(**row) for row in to_json(self.spaces)])
-            m = self.manifest()
-            self._publish({**m, "drops": [*m["drops"], {"ks": ks, "first": "", "last": "g", "at": m["next_off"]}]})
+    def destroy(self, ks: str) -> int:
+        s = self.space(ks)
+        self.spaces = [KeySpace(**{**row, "state": "destroyed"}) if row["id"] == s.id else KeySpace(**row) for row in to_json(self.spaces)]
+        version = self._entry(ks, "", TOP)
+        self._describe(self.spark, self.root, self.spaces, self.settings, "overwrite")
+        return version
 
     # reading
 
-    def log(self, version: int | None = None) -> DataFrame:
-        """All entries of a version; entries that a later drop covers are gone, hidden key spaces are not shown."""
-        m = self.manifest(version)
-        shown = [s.name for s in self.spaces if s.state == "declared"]
-        rows = self.spark.read.schema(LOG).parquet(*(f"{self.root}/{c}" for c in m["commits"])) if m["commits"] else self.spark.createDataFrame([], LOG)
-        rows = rows.filter(F.col("ks").isin(shown))
-        for d in m["drops"]:
-            rows = rows.filter(~((F.col("ks") == d["ks"]) & F.col("k").between(d["first"], d["last"]) & (F.col("off") < d["at"])))
-        return rows
+    def log(self, version: int | None = None, hidden: bool = False) -> DataFrame:
+        """All writes of a version; those that a later drop covers are gone; undeclared key spaces only if `hidden`."""
+        rows = self._read(self.commits()[:version])
+        if not hidden:
+            rows = rows.filter(F.col("ks").isin([s.name for s in self.spaces if s.state == "declared"]))
+        drops = rows.filter("kind = 'drop'").select(F.col("ks").alias("of"), F.col("off").alias("at"), F.col("k").alias("first"), F.col("v").cast("string").alias("last"))
+        covered = (F.col("ks") == F.col("of")) & (F.col("off") < F.col("at")) & F.col("k").between(F.col("first"), F.col("last"))
+        writes = rows.filter("kind <> 'drop'")
+        return writes.join(small(drops), covered, "left_anti") if drops.limit(1).count() else writes
+
+    def _indexed(self, rows: DataFrame) -> DataFrame:
+        """With `index_key`: what stands for the key in its key space; keys that are reduced alike overwrite each other."""
+        index = F.col("k")
+        for s in self.spaces:
+            if s.reduce_to is not None and s.state != "destroyed":
+                index = F.when(F.col("ks") == s.name, keys.reduced(F.col("k"), *s.reduce_to)).otherwise(index)
+        return rows.withColumn("index_key", index)
 
     def state(self, ks: str | int, version: int | None = None) -> DataFrame:
-        s = self.space(ks)
-        rows = self.log(version).filter(F.col("ks") == s.name)
-        index = F.col("k") if s.reduce_to is None else keys.reduced(F.col("k"), *s.reduce_to)
-        return state.live(rows.withColumn("index_key", index), ["ks", "index_key"])
+        return state.live(self._indexed(self.log(version).filter(F.col("ks") == self.space(ks).name)), ["ks", "index_key"])
 
     def get(self, ks: str | int, key: bytes, version: int | None = None) -> bytes | None:
         got = scan.get(self.state(ks, version), key.hex()).select("v").take(1)
@@ -237,90 +203,74 @@ class Store:
         self.space(ks).check_bounds()
         return scan.less_than(self.state(ks), key.hex(), n).select("k", "v")
 
-    def is_empty(self) -> bool:
-        return not self.manifest()["commits"]
-
-    # maintenance
+    # maintenance: each job writes a new table
 
-    def snapshot(self) -> int:
-        return self.manifest()["version"]
+    def _rewrite(self, rows: DataFrame, to: str) -> Store:
+        """A store at `to` whose first commit is `rows`, by key range and sorted; offsets are kept."""
+        self._describe(self.spark, to, self.spaces, self.settings, "errorifexists")
+        made = Store(self.spark, to)
+        made._append(rows.repartitionByRange("ks", "k").sortWithinPartitions("ks", "k"))
+        return made
 
-    def restore(self, version: int) -> int:
-        """Make a kept version the newest one; later commits are no longer part of it."""
-        with self.lock():
-            return self._publish({**self.manifest(version), "version": max(self.versions())})
+    def compacted(self, to: str) -> Store:
+        """The live rows alone, those of undeclared key spaces among them."""
+        return self._rewrite(state.live(self._indexed(self.log(hidden=True)), ["ks", "index_key"]), to)
 
-    def pin(self, version: int) -> str:
-        name = f"pins/{version:08d}-{uuid.uuid4().hex[:8]}"
-        self.files.create(name, "")
-        return name
-
-    def unpin(self, pin: str) -> None:
-        self.files.delete(pin)
-
-    def compact(self) -> int:
-        """Rewrite the log as its live rows: one commit in place of all, offsets kept."""
-        with self.lock():
-            m = self.manifest()
-            staged = f"log/{m['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-            live = state.live(self.log(), ["ks", "k"]).select(*LOG.names)
-            self._write(live.repartitionByRange("ks", "k").sortWithinPartitions("ks", "k"), staged)
-            return self._publish({**m, "commits": [staged], "drops": []})
-
-    def relocate(self, ks: str, decide: Column, mode: str = "index", target: int | None = None) -> int:
-        """Apply a relocation filter to one key space and rewrite the log as what is left; others keep their live rows.
+    def relocated(self, ks: str, decide: Column, to: str, mode: str = "index", target: int | None = None) -> Store:
+        """A relocation filter applied to one key space; of others the live rows stay.
 
         `decide` gives keep, remove or stop for (k, v, off, kind). Mode `log`: the first stop sets the cut. Mode
-        `index`: live rows below the target that decide remove go.
+        `index`: live rows below the target that decide remove go. What a row that goes had overwritten stays gone.
         """
-        with self.lock():
-            m = self.manifest()
-            name = self.space(ks).name
-            rows = self.log()
-            if mode == "log":
-                left = retention.relocate_by_log(rows, ["ks", "k"], decide, F.col("ks") == name)
-            else:
-                below = m["next_off"] if target is None else target
-                left = retention.relocate_by_index(rows, ["ks", "k"], F.when(F.col("ks") == name, decide).otherwise("keep"), below)
-            staged = f"log/{m['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-            self._write(left.select(*LOG.names).repartitionByRange("ks", "k").sortWithinPartitions("ks", "k"), staged)
-            return self._publish({**m, "commits": [staged], "drops": []})
+        name, rows = self.space(ks).name, self._indexed(self.log(hidden=True))
+        if mode == "log":
+            left = retention.relocate_by_log(rows, ["ks", "index_key"], decide, F.col("ks") == name)
+        else:
+            below = self.frontier() if target is None else target
+            left = retention.relocate_by_index(rows, ["ks", "index_key"], F.when(F.col("ks") == name, decide).otherwise("keep"), below)
+        return self._rewrite(left, to)
+
+    def copied(self, to: str, version: int | None = None) -> Store:
+        """A version of the store, as it was, at another place."""
+        return self._rewrite(self.log(version, hidden=True), to)
+
+    def snapshot(self, to: str) -> int:
+        """Write the newest entry of every key, removals too, and return the offset from which to replay."""
+        replay_from = self.frontier()
+        newest = state.newest(self._indexed(self.log(hidden=True)), ["ks", "index_key"])
+        newest.select(*LOG.names).repartitionByRange("ks", "k").sortWithinPartitions("ks", "k").write.parquet(to)
+        return replay_from
+
+    def recovered(self, snapshot: str, replay_from: int) -> DataFrame:
+        """Live rows from a snapshot and the log's tail."""
+        held = self.spark.read.schema(LOG).parquet(snapshot)
+        tail = self._read(self.commits()).filter(F.col("off") >= replay_from)
+        drops = tail.filter("kind = 'drop'").select(F.col("ks").alias("of"), F.col("off").alias("at"), F.col("k").alias("first"), F.col("v").cast("string").alias("last"))
+        covered = (F.col("ks") == F.col("of")) & (F.col("off") < F.col("at")) & F.col("k").between(F.col("first"), F.col("last"))
+        rows = held.unionByName(tail.filter("kind <> 'drop'")).join(small(drops), covered, "left_anti")
+        return state.live(self._indexed(rows.filter(F.col("ks").isin([s.name for s in self.spaces if s.state == "declared"]))), ["ks", "index_key"])
 
     def target_position(self, ratio: float) -> int | None:
         """The offset at a ratio of the way from the lowest to the highest; none for an empty log."""
         return retention.target_position(self.log(), ratio).first()["target"]
 
-    def files_of(self, version: int | None = None) -> DataFrame:
-        """The log's files: name, size, time of change."""
-        m = self.manifest(version)
-        if not m["commits"]:
-            return self.spark.createDataFrame([], "name string, size long, created timestamp")
-        rows = self.spark.read.schema(LOG).parquet(*(f"{self.root}/{c}" for c in m["commits"]))
-        return rows.select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("created")).distinct()
+    def files(self) -> DataFrame:
+        """The log's files: name, size, time of change; a listing, no row is read."""
+        return list_files(self.spark, f"{self.root}/log/*")
 
     def verify(self, ks: str | int) -> dict:
         """Live keys by the log against those that a scan finds: totals, lacking, surplus, ok."""
-        s = self.space(ks)
-        index = F.col("k") if s.reduce_to is None else keys.reduced(F.col("k"), *s.reduce_to)
-        latest = self.log().filter(F.col("ks") == s.name).withColumn("index_key", index)
-        w = Window.partitionBy("index_key").orderBy(F.desc("off"))
-        expected = latest.withColumn("nth", F.row_number().over(w)).filter("nth = 1 and kind = 'record'")
+        name = self.space(ks).name
+        rows = self._indexed(self.log().filter(F.col("ks") == name))
+        top = rows.groupBy("index_key").agg(F.max("off").alias("off"))
+        expected = rows.join(top, ["index_key", "off"], "left_semi").filter("kind = 'record'")
         return stats.verify(expected, self.state(ks), ["k"]).first().asDict()
 
-    def vacuum(self, keep: int = 1) -> list[str]:
-        """Remove manifests but the newest `keep` and pinned ones, then commits that no manifest names."""
-        with self.lock():
-            pinned = {int(n[:8]) for n in self.files.list("pins")}
-            all_ = self.versions()
-            kept = set(all_[-keep:]) | pinned
-            for v in all_:
-                if v not in kept:
-                    self.files.delete(f"manifest/{v:08d}.json")
-            named = {c for v in kept if v in all_ for c in self.manifest(v)["commits"]}
-            gone = [f"log/{n}" for n in self.files.list("log") if f"log/{n}" not in named]
-            for c in gone:
-                self.files.delete(c)
-            return gone
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """name, size, created of the files of a folder that match a pattern."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("created"))
 
 
 class Batch:
@@ -339,5 +289,5 @@ class Batch:
 
     def commit(self) -> int:
         if not self.rows:
-            return self.store.manifest()["version"]
+            return self.store.version()
         return self.store.commit(self.store.spark.createDataFrame(self.rows, "ks string, k string, v binary, kind string, nth long"))

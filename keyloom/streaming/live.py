@@ -1,4 +1,4 @@
-"""Live state of a log that arrives as a stream of files."""
+"""Live state of a log that arrives as a stream of files, and commits per micro-batch."""
 
 from __future__ import annotations
 
@@ -9,12 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-
-def newest(stream: DataFrame, key: str = "k", order: str = "off") -> DataFrame:
-    """The newest version of each key so far, by offset and not by arrival, so late writes never win."""
-    rest = [c for c in stream.columns if c != key]
-    best = stream.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("best"))
-    return best.select(key, *(F.col(f"best.{c}").alias(c) for c in rest))
+from keyloom.operators import state
+from keyloom.sources.store import Store
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None, glob: str = "*.parquet") -> DataFrame:
@@ -22,57 +18,48 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_t
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Process what has arrived, into a memory table, then stop; a restart goes on from the checkpoint."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Give what has arrived to `work`, batch by batch, then stop; a restart goes on from the checkpoint.
 
-
-def commit_batches(stream: DataFrame, commit: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch becomes one commit; `commit` gets its id and must not repeat one that it has seen."""
-    query = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    After a failure the last batch comes again under its number, so `work` must be one that may be repeated.
+    """
+    query = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def frontier(spark: SparkSession, name: str) -> int:
-    """The highest offset in a memory table of newest versions; -1 if it is empty."""
-    got = spark.table(name).agg(F.max("off")).first()[0]
-    return -1 if got is None else got
-
-
-def newest_with_ttl(stream: DataFrame, ttl_ms: int, key: str = "k", order: str = "off") -> DataFrame:
-    """Versions that are newer than any seen of their key; the state of a key goes when it was not written for `ttl_ms`.
+def keep_newest(stream: DataFrame, folder: str, checkpoint: str, key: str = "k", order: str = "off") -> DataFrame:
+    """The newest version of each key of all that has arrived, by offset and not by arrival, so late writes never win.
 
-    State is one offset per key. It needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    Each batch is merged with the state before it into a folder of its own, which a repeated batch writes over: the
+    state is a distributed table, and nothing of it comes to the driver.
     """
-    from pyspark.sql.streaming import StatefulProcessor
+    spark = stream.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
 
-    names, at = list(stream.columns), stream.columns.index(order)
+    def versions() -> list[int]:
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
 
-    class Newest(StatefulProcessor):
-        def init(self, handle):  # noqa: ANN001, ANN202
-            self.seen = handle.getValueState("seen", "off long", ttlDurationMs=ttl_ms)
+    def merge(rows: DataFrame, batch: int) -> None:
+        before = [v for v in versions() if v < batch]
+        held = spark.read.schema(rows.schema).parquet(f"{folder}/{before[-1]}").unionByName(rows) if before else rows
+        state.newest(held, [key], order).select(*rows.columns).write.mode("overwrite").parquet(f"{folder}/{batch}")
 
-        def handleInputRows(self, key, rows, timer_values):  # noqa: ANN001, ANN202, N802
-            import pandas as pd
+    run_batches(stream, merge, checkpoint)
+    there = versions()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/{there[-1]}") if there else spark.createDataFrame([], stream.schema)
 
-            held = self.seen.get()[0] if self.seen.exists() else -1
-            best = None
-            for part in rows:
-                i = part[order].idxmax()
-                if int(part.loc[i, order]) > held:
-                    held, best = int(part.loc[i, order]), part.loc[[i]]
-            if best is not None:
-                self.seen.update((held,))
-                yield pd.DataFrame(best, columns=names)
 
-        def close(self):  # noqa: ANN202
-            pass
+def commit_batches(stream: DataFrame, store: Store, source: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch (ks, k, v, kind, nth) becomes one commit of the store, once, however often it is repeated."""
+    return run_batches(stream, lambda rows, batch: store.commit(rows, source, batch), checkpoint)
 
-    assert at >= 0
-    return stream.groupBy(key).transformWithStateInPandas(Newest(), stream.schema, "Append", "processingTime")
+
+def frontier(rows: DataFrame) -> int:
+    """The highest offset of a state; -1 if it is empty."""
+    got = rows.agg(F.max("off")).first()[0]
+    return -1 if got is None else got
 
 
 def periodically(stream: DataFrame, job: Callable[[DataFrame, int], None], every: str, checkpoint: str) -> StreamingQuery:

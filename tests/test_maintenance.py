@@ -27,6 +27,12 @@ def test_state_files_prune_by_cell_and_hold_a_bloom_filter(spark, tmp_path):
     assert back.count() == 10_000 and back.select("cell").distinct().count() == 16
     probe = rows.first()["k"]
     assert back.filter((F.col("k") == probe) & (F.col("cell") == keys.uniform_cell_of(bytes.fromhex(probe), 16))).count() == 1
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(back.inputFiles()[0]), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+    columns = {c.getPath().toDotString(): c.getBloomFilterOffset() for c in reader.getFooter().getBlocks().get(0).getColumns()}
+    reader.close()
+    assert columns["k"] > 0 > columns["id"]
 
 
 def test_sparse_files_are_rewritten(spark):
@@ -70,37 +76,26 @@ def test_store_relocation_modes_and_verify(spark, tmp_path):
     b = store.batch()
     for n in range(40):
         b.write("k", n.to_bytes(4, "big"), b"v").write("k2", n.to_bytes(4, "big"), b"v")
-    first = b.commit()
+    b.commit()
     number = F.conv("k", 16, 10).cast("long")
     assert store.verify("k") == {"total": 40, "lacking": 0, "surplus": 0, "ok": True}
-    assert store.target_position(0.0) == store.log().agg(F.min("off")).first()[0]
-    store.relocate("k", F.when(number % 2 == 1, "remove").otherwise("keep"))
-    assert store.state("k").count() == 20 and store.state("k2").count() == 40
-    store.restore(first)
-    store.relocate("k", F.lit("remove"), mode="log")
-    assert store.state("k").count() == 0 and store.state("k2").count() == 40
-    assert store.files_of().count() >= 1
-
-
-def test_stream_state_with_a_time_to_live(spark, tmp_path):
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        path = tmp_path / "in"
-        put = lambda rows: spark.createDataFrame(rows, "k string, off long").coalesce(1).write.mode("append").parquet(str(path))
-        out = []
-
-        def run():
-            stream = live.newest_with_ttl(live.read_files(spark, str(path), spark.createDataFrame([], "k string, off long").schema), 3_600_000)
-            live.commit_batches(stream, lambda df, i: out.extend((r["k"], r["off"]) for r in df.collect()), str(tmp_path / "check"))
-
-        put([("a", 5), ("b", 2), ("a", 3)])
-        run()
-        put([("a", 4), ("b", 7)])
-        run()
-        assert sorted(out) == [("a", 5), ("b", 2), ("b", 7)]
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    assert store.target_position(0.0) == 0 and store.target_position(0.5) == 39 and store.target_position(2.0) == 79
+    one = store.relocated("k", F.when(number % 2 == 1, "remove").otherwise("keep"), f"{store.root}-1")
+    assert one.state("k").count() == 20 and one.state("k2").count() == 40
+    two = store.relocated("k", F.lit("remove"), f"{store.root}-2", mode="log")
+    assert two.state("k").count() == 0 and two.state("k2").count() == 40
+    assert one.verify("k2")["ok"] and store.state("k").count() == 40
+
+
+def test_retention_by_age_when_a_log_is_relocated(spark, tmp_path):
+    """Values older than a time to live go when the log is rewritten, unless they were written again."""
+    store = Store.create(spark, str(tmp_path / "db"), [KeySpace("k", key_length=4)])
+    write = lambda n, at: store.insert("k", n.to_bytes(4, "big"), str(at).encode())
+    for n, at in ((1, 100), (2, 100), (3, 500), (1, 900)):
+        write(n, at)
+    age = F.lit(1000) - F.col("v").cast("string").cast("long")
+    kept = store.relocated("k", F.when(age > 600, "remove").otherwise("keep"), f"{store.root}-kept")
+    assert sorted(int(r["k"], 16) for r in kept.state("k").collect()) == [1, 3]
 
 
 def test_paced_writes_and_periodic_jobs(spark, tmp_path):

@@ -1,10 +1,13 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import keys, scalars
-from keyloom.operators import levels, retention, scan, state
+from keyloom.operators import levels, retention, scan, state, stats
+from keyloom.sources.registry import KeySpace
+from keyloom.sources.store import Store
 from keyloom.streaming import live
 
 
@@ -71,6 +74,16 @@ def test_zipf_ranks(spark):
         assert exponent == 0 or ranks.count(1) > 3 * ranks.count(20)
 
 
+def test_console_and_generator_functions(spark):
+    df = spark.createDataFrame([("0aFF", 3), ("", 0)], "h string, n int")
+    got = df.select(keys.must_be_hex(F.col("h")).alias("b"), keys.text_hex(F.lit("aé")).alias("t"), keys.bytes_hex(F.col("n"), 7).alias("r"), scalars.human_count(F.col("n") * 1_500_000).alias("c")).collect()
+    assert [bytes(r["b"]) for r in got] == [b"\x0a\xff", b""] and got[0]["t"] == "61c3a9" and [r["r"] for r in got] == ["070707", ""] and [r["c"] for r in got] == ["4.50 M", "0"]
+    with pytest.raises(Exception, match="not a hex string"):
+        spark.createDataFrame([("xyz",)], "h string").select(keys.must_be_hex(F.col("h"))).collect()
+    made = spark.range(500).select(keys.seeded_key(F.col("id"), 1).alias("k"), keys.seeded_key(F.col("id"), 2).alias("other"), keys.seeded_value(F.col("id"), 1, 70).alias("v")).collect()
+    assert len({r["k"] for r in made} | {r["other"] for r in made}) == 1000 and {len(r["k"]) for r in made} == {32} and {len(r["v"]) for r in made} == {70}
+
+
 def test_shards(spark):
     n = spark.createDataFrame([("a", 10_000), ("b", 5)], "ks string, n long")
     got = levels.split_ranges(n, F.col("n"), 900).collect()
@@ -113,18 +126,50 @@ def test_stream_restarts_and_ignores_late_writes(spark, arriving):
     path, put = arriving
     put("1", [("a", 5, "record", 1), ("b", 6, "record", 2)])
     schema = frame(spark, []).schema
-    seen = []
+    store = Store.create(spark, str(path / "db"), [KeySpace("s", indexing="variable")])
 
-    def commit(df, batch):
-        seen.append((batch, state.newest(df, ["k"]).count()))
+    def run():
+        read = lambda: live.read_files(spark, str(path / "in" / "*"), schema, 1)
+        writes = read().select(F.lit("s").alias("ks"), F.hex("k").alias("k"), F.col("v").cast("string").cast("binary").alias("v"), "kind", F.col("off").alias("nth"))
+        live.commit_batches(writes, store, "in", str(path / "commit"))
+        return live.keep_newest(read(), str(path / "state"), str(path / "check"))
 
-    read = lambda: live.read_files(spark, str(path / "in" / "*"), schema, 1)
-    live.commit_batches(read(), commit, str(path / "commit"))
-    live.run_available(live.newest(read()), "live_test", str(path / "check"))
-    assert live.frontier(spark, "live_test") == 6
+    assert live.frontier(run()) == 6 and store.version() == 1
     put("2", [("a", 3, "record", 0), ("b", 9, "remove", None)])
-    live.commit_batches(read(), commit, str(path / "commit"))
-    live.run_available(live.newest(read()), "live_test2", str(path / "check"))
-    assert [b for b, _ in seen] == sorted({b for b, _ in seen}) and len(seen) == 2
-    got = {r["k"]: (r["off"], r["kind"]) for r in spark.table("live_test2").collect()}
-    assert got == {"a": (5, "record"), "b": (9, "remove")}
+    got = {r["k"]: (r["off"], r["kind"]) for r in run().collect()}
+    assert got == {"a": (5, "record"), "b": (9, "remove")} and store.version() == 2
+    assert {r["k"]: r["off"] for r in run().collect()} == {"a": 5, "b": 9} and store.version() == 2  # nothing new
+
+
+def test_neighbours_go_over_ranges(spark):
+    rng = random.Random(4)
+    rows = sorted({(rng.choice("xyz"), f"{rng.randrange(10**6):06d}") for _ in range(600)})
+    got = {(r["ks"], r["k"]): (r["prev_key"], r["next_key"]) for r in scan.neighbours(spark.createDataFrame(rows, "ks string, k string"), ["ks"]).collect()}
+    for i, (ks, k) in enumerate(rows):
+        before = rows[i - 1][1] if i and rows[i - 1][0] == ks else None
+        after = rows[i + 1][1] if i + 1 < len(rows) and rows[i + 1][0] == ks else None
+        assert got[ks, k] == (before, after)
+    plan = scan.neighbours(spark.createDataFrame(rows, "ks string, k string"), ["ks"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(ks" not in plan
+
+
+def test_percentiles_and_medians_of_large_groups(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("pq"), rng.randrange(5000)) for _ in range(4000)] + [("r", 7)]
+    df = spark.createDataFrame(rows, "g string, x long")
+    percents = (50, 99, 99.9, 99.999)
+    got = {r["g"]: r for r in stats.distribution(df, ["g"], "x", percents).collect()}
+    middle = {r["g"]: r["median"] for r in stats.medians(df, ["g"], "x").collect()}
+    for g in "pqr":
+        xs = sorted(x for h, x in rows if h == g)
+        n = len(xs)
+        assert [got[g][stats.percentile_name(p)] for p in percents] == [xs[min(n * round(p * 1000) // 100_000, n - 1)] for p in percents]
+        assert middle[g] == (xs[(n - 1) // 2] + xs[n // 2]) / 2 and got[g]["n"] == n
+
+
+def test_a_compactor_sees_places(spark):
+    rows = [(c, f"{k:03d}", "remove" if k % 7 == 0 else "record") for c in (1, 2) for k in range(40)]
+    got = retention.compact(spark.createDataFrame(rows, "cell int, k string, kind string"), "cell", lambda place, n: (place == 1) | (place > n - 2)).collect()
+    shown = [f"{k:03d}" for k in range(40) if k % 7]
+    want = [(c, k) for c in (1, 2) for k in [shown[0], *shown[-2:]]] + [(c, f"{k:03d}") for c in (1, 2) for k in range(0, 40, 7)]
+    assert sorted((r["cell"], r["k"]) for r in got) == sorted(want)
