@@ -22,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import textvec
-from .common import broadcast_if_small, cut, map_batches
+from .common import broadcast_if_small, cut, look_up, map_batches
 
 BITS = 64
 SHINGLE = 3
@@ -227,10 +226,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        known = broadcast_if_small(labels)
-        near = both.join(known, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        near = both.join(broadcast_if_small(labels), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = lower.join(known.select(F.col("node").alias("at"), F.col("label").alias("to")), F.col("label") == F.col("at"), "left")
+        # in a large component most nodes have one label
+        jump = look_up(cut(lower), "label", labels.select(F.col("node").alias("at"), F.col("label").alias("to")), "at")
         new = cut(jump.select("node", "was", F.least("label", F.coalesce("to", "label")).alias("label")))
         changed = new.filter("label <> was").limit(1).count()
         labels = new.select("node", "label")
@@ -251,24 +250,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(edges)
     linked = labels.join(distinct, labels["node"] == distinct["fp"]).select("fp", "label", "least")
     roots = linked.groupBy("label").agg(F.min("least").alias("component"))
-    of = cut(linked.select("fp", "label").join(broadcast_if_small(roots), "label").select("fp", "component"))
-    named = distinct.join(broadcast_if_small(of), "fp", "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "least").alias("component"))
-    return held.join(named, F.col("fp") == F.col("of_fp")).select(F.col("id").alias(id_col), "fp", "component")
+    of = cut(look_up(cut(linked.select("fp", "label")), "label", roots, "label").select("fp", "component"))
+    named = cut(distinct.join(broadcast_if_small(of), "fp", "left").select("fp", F.coalesce("component", "least").alias("component")))
+    # blank texts and boilerplate share a fingerprint
+    return look_up(held, "fp", named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+
+
+#: bits of the map of rows that may have to go: 8 MB, whatever the table
+MAP_BITS = 1 << 26
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row per component: one with the component's smallest id; rows that repeat it go too.
 
     Among rows of one id that stand for a component the one with the smallest text hash stays. A component that has no
-    id but null keeps one row. All columns stay as they are. Only a text's hash and row marks travel, except in the
-    last step, where rows meet the list of those to keep by id and text hash.
+    id but null keeps one row. Blank texts, null ones too, are copies of each other, so one of them stays. All columns
+    stay as they are, whatever their names; an empty table stays empty; a very long text travels no more than others.
+
+    Whole rows stay where they are: a bitmap of fixed size, broadcast, marks the hashes of rows that go or repeat.
+    Only rows that it marks, those and few others, meet the list of rows to keep by a shuffle.
     """
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("h"))
-    found = near_duplicates(docs.select(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("h")).alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
-    kept = found.filter(F.col("id") == F.col("component")).select("id.id", "id.h").distinct()
-    on = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.h") == F.col("b.h"))
-    few = marked.alias("a").join(cut(kept).alias("b"), on, "left_semi")
-    repeated = few.groupBy("id", "h").count().filter("count > 1").limit(1).count()
-    if repeated:  # whole rows that repeat: one of each stays
-        few = few.withColumn("nth", F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))).filter("nth = 1")
-    return few.select("doc.*")
+    mark = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("h"))
+    found = cut(near_duplicates(docs.select(mark.alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text").select("id", (F.col("id") == F.col("component")).alias("stays")))
+    rows = found.groupBy("id").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    spot = lambda x: F.pmod(F.xxhash64(x), F.lit(MAP_BITS)) + 1
+    doubtful = rows.filter(~F.col("stays") | (F.col("n") > 1)).select(spot(F.col("id")).alias("spot"))
+    bits = cut(doubtful.groupBy(F.bitmap_bucket_number("spot").alias("of_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")))  # MAP_BITS at most
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), mark.alias("mark"))
+    at = F.bitmap_bit_position(spot(F.col("mark")))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    seen = marked.join(F.broadcast(bits), F.bitmap_bucket_number(spot(F.col("mark"))) == F.col("of_bucket"), "left")
+    is_marked = F.col("bits").isNotNull() & (F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1)
+    keep = rows.filter("stays").select(F.col("id").alias("kept"))
+    some = seen.filter(is_marked).join(keep, F.col("mark") == F.col("kept"), "left_semi")
+    one = some.groupBy("mark").agg(F.first("doc").alias("doc"))  # combined before the shuffle, however often a row repeats
+    return seen.filter(~is_marked).select("doc.*").unionByName(one.select("doc.*"))
