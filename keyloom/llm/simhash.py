@@ -280,7 +280,10 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = F.bitmap_bit_position(spot(F.col("mark")))
     byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     seen = marked.join(F.broadcast(bits), F.bitmap_bucket_number(spot(F.col("mark"))) == F.col("of_bucket"), "left")
-    is_marked = F.col("bits").isNotNull() & (F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1)
+    is_set = F.col("bits").isNotNull() & (F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1)
+    # a column that is not deterministic keeps the join with the list above this, so that only marked rows are shuffled
+    seen = seen.select("doc", "mark", (is_set & (F.spark_partition_id() >= 0)).alias("is_marked"))
+    is_marked = F.col("is_marked")
     keep = rows.filter("stays").select(F.col("id").alias("kept"))
     some = seen.filter(is_marked).join(keep, F.col("mark") == F.col("kept"), "left_semi")
     one = some.groupBy("mark").agg(F.first("doc").alias("doc"))  # combined before the shuffle, however often a row repeats
