@@ -97,7 +97,9 @@ def train(labelled: DataFrame, lang: Column, text: Column, pick: Column, most: i
     """A model of the non-null languages in `labelled`, from a hash sample of about `most` rows each.
 
     `pick` is a column of well-spread integers in [0, 2**32). Languages are known by their labels, of which there are
-    few; their counts and at most SLOTS trigram counts per language come to the driver.
+    few; their counts and at most SLOTS trigram counts per language come to the driver. Null labels, texts and picks
+    teach nothing; empty texts have no word; repeated rows are picked or left together and then all count; a very long
+    text counts whole; an empty table gives a model without languages. Languages are in code point order.
     """
     rows = labelled.select(lang.alias("lang"), text.alias("text"), pick.alias("pick")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -224,13 +226,18 @@ def remainder(id_col: Column, of: int = 5) -> Column:
 
 
 def train_outside_fold(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model:
-    """A model learned from rows whose crc32(id as text) mod 5 is not 0."""
+    """A model learned from rows whose crc32(id as text) mod 5 is not 0; rows with a null id teach nothing."""
     learned = docs.filter(remainder(F.col(id_col)) != 0)
     return train(learned, F.col(lang_col), F.col(text_col), F.crc32(F.concat(F.lit("pick "), F.col(id_col).cast("string"))))
 
 
 def with_language(docs: DataFrame, model: Model, lang_name: str, score_name: str, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """`docs` with two more columns: the language of the text and its share of the letters, as `identify` gives them."""
+    """`docs` with two more columns: the language of the text and its share of the letters, as `identify` gives them.
+
+    Null and empty texts, and those without a letter, are UNKNOWN with share 0. Ties go to the language that is first by
+    code point. Repeated rows are labelled alike; a very long text is labelled whole, in one task, word after word; an
+    empty table stays empty. The two names must be new; other columns, whatever their names, stay as they are.
+    """
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
 

@@ -23,8 +23,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     """source, source_size, target for one row per source: shares of the total by weight, capped, the excess reshared.
 
     Sources in code point order, null last, take the weights in turn. A target is min(most * size, level * weight) with
-    the one level at which targets add up to the total. The table has one row per source, as the weights have; ordering
-    it takes one task.
+    the one level at which targets add up to the total. The table has one narrow row per source; it is ordered in one
+    task, which some ten million sources would fill. Documents are never ordered there.
     """
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weighed = sources.withColumn("rank", rank).select("source", "source_size", "rank", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights) + 1).cast("double").alias("w"), (F.col("source_size") * most).cast("double").alias("cap"))
@@ -76,7 +76,11 @@ def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS
     """The mixed corpus itself: the columns of `docs`, each row as often as it is taken.
 
     A last, partial copy (one document per source) holds its first words, joined by blanks. Rows taken 0 times, and
-    documents without a word, are left out. `n_chars`, if there is such a column, follows a shortened text.
+    documents without a word (null and empty texts), are left out. `n_chars`, if there is such a column, follows a
+    shortened text. A null source is a source, the last; null ids have a place in the order like others. Order within a
+    source is by a hash of id and size; ties in it go by id and size, and rows that repeat both are interchangeable. A
+    very long text is one row, and may be the one that is cut. An empty table gives an empty one. Other columns,
+    whatever their names, go along.
     """
     names = docs.columns
     held = docs.select(F.col("doc_id").alias("id"), "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"))

@@ -216,7 +216,8 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, en
     `tokenizer` is a tokenizers JSON file that every worker can read; None means the public word_bpe_49k.json. A null
     text is an empty one: its document is the single id `end_id`. A null id stays null, and repeated rows are packed
     once each. An empty table gives no piece. Other columns are ignored, whatever their names. Order within a partition
-    of the input decides the bins, so reruns over the same files agree; sequence ids differ between partitions.
+    of the input decides the bins, so reruns over the same files agree; sequence ids differ between partitions. Pieces
+    of one length have no order but that. A very long text gives whole sequences and a rest, and is encoded in one task.
     """
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

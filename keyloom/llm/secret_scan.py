@@ -138,7 +138,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """`docs` with every found span of the text replaced by `mask`; spans that overlap are replaced together."""
+    """`docs` with every found span of the text replaced by `mask`; spans that overlap or touch are replaced together.
+
+    Null texts stay null and empty ones empty; null ids and repeated rows are rows like others; other columns, whatever
+    their names, stay as they are; an empty table stays empty. Each text is scanned whole, in one task.
+    """
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
