@@ -52,7 +52,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: each document as often, and the last copy as far, as its source's target takes it.
 
-    A null source is a source, the last one. Texts without words weigh nothing and come once. Order within a source is
+    A null source is a source, the last one. Texts without a word, null ones too, are left out. Order within a source is
     by a hash of id and size, ties by id and size, so repeated rows of one id are interchangeable; null ids have a place
     of their own. A very long text may be cut, by words, where its source's budget ends.
     """
