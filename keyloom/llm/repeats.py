@@ -286,7 +286,8 @@ def _say_parts(buckets: int):  # noqa: ANN202
             length = size[h] + LENGTH
             at = np.repeat(first[h] - (np.cumsum(length) - length), length) + np.arange(length.sum())
             later = ids[o] > ids[lead[o]]
-            rows.append((int(bucket[h[0]]), number, B.pack(kind[h], size[h].astype(np.uint8), place[h].astype(np.uint8), ids[h], times[a:b].astype(np.int32), first[o].astype(np.int64), later, parts.buf[at].tobytes())))
+            low = int(ids[h].min())
+            rows.append((int(bucket[h[0]]), number, B.pack(kind[h], size[h].astype(np.uint8), place[h].astype(np.uint8), low, B.planes((ids[h] - low).view(np.uint64)), B.planes(times[a:b].astype(np.uint64)), B.planes(first[o].astype(np.uint64)), np.packbits(later), parts.buf[at].tobytes())))
         yield B.message_batch(rows)
 
     return use
@@ -436,13 +437,18 @@ def find_repeats(kind: np.ndarray, size: np.ndarray, place: np.ndarray, least: n
 def _compare(bodies: list[bytes]) -> list[bytes | None]:
     """For each block the stretches of its bytes that go, as far as this bucket's windows tell."""
     held = [B.unpack(body) for body in bodies]
-    kind, size, place, least, times, occurs, later = (np.concatenate([h[c] for h in held]) for c in range(7))
-    mask = find_repeats(kind, size, place, least, b"".join(h[7] for h in held))
+    kind, size, place = (np.concatenate([h[c] for h in held]) for c in range(3))
+    least = np.concatenate([B.from_planes(h[4]).view(np.int64) + h[3] for h in held])
+    times = np.concatenate([B.from_planes(h[5]).astype(np.int64) for h in held])
+    places = [B.from_planes(h[6]).astype(np.int64) for h in held]
+    occurs = np.concatenate(places)
+    later = np.concatenate([np.unpackbits(h[7], count=len(p)).astype(bool) for h, p in zip(held, places, strict=True)])
+    mask = find_repeats(kind, size, place, least, b"".join(h[8] for h in held))
     owner = np.repeat(np.arange(len(kind)), times)
     full = (np.uint64(1) << (size.astype(np.uint64) + np.uint64(1))) - np.uint64(1)
     own = np.where(later, full[owner], mask[owner])
     out: list[bytes | None] = []
-    upto = np.cumsum([0, *(len(h[5]) for h in held)])
+    upto = np.cumsum([0, *map(len, places)])
     for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
         some = a + np.flatnonzero(own[a:b])
         if not len(some):
@@ -453,7 +459,7 @@ def _compare(bodies: list[bytes]) -> list[bytes | None]:
         which = np.repeat(np.arange(len(some)), count)
         nth = np.arange(count.sum()) - before[which]
         gone = own[some][which] >> nth.astype(np.uint64) & np.uint64(1) > 0
-        out.append(B.pack(*_merged(occurs[some][which[gone]] + nth[gone])))
+        out.append(B.pack(*(B.steps(x.astype(np.uint64)) for x in _merged(occurs[some][which[gone]] + nth[gone]))))
     return out
 
 
@@ -474,7 +480,7 @@ def _cut_texts(id_name: str):  # noqa: ANN202
         np.cumsum([len(t) if i is not None else 0 for i, t in zip(ids, raw, strict=True)], out=starts[1:])
         change = np.zeros(int(starts[-1]) + 1, dtype=np.int32)
         for _, body in answers:
-            first, last = B.unpack(body)
+            first, last = (B.from_steps(x).astype(np.int64) for x in B.unpack(body))
             np.add.at(change, first, 1)
             np.add.at(change, last, -1)
         gone = np.cumsum(change[:-1]) > 0

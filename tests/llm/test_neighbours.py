@@ -104,7 +104,7 @@ def test_trees_ascend_together(spark, monkeypatch):
 
 
 def test_recall_with_contrast_at_fixed_work(spark):
-    """Vectors in groups: a fixed number of candidates, a hundredth of all rows, finds nearly all."""
+    """Vectors in groups: candidates for a tenth of all rows, repeats counted, find nearly all."""
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(400, 32))
     x = centres[rng.integers(0, 400, 20_000)] + 0.35 * rng.normal(size=(20_000, 32))
