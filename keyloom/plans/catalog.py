@@ -36,6 +36,12 @@ LIVE = f"""{LOG}, live AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITIO
 PROBES = "probes AS (SELECT lpad(lower(hex(c_custkey)), 16, '0') AS k FROM customer)"
 
 
+#: offsets in the middle of the log, and where its last hundredth begins
+MIDDLE = "(SELECT (min(off) + max(off) + 1) // 2 FROM log)"
+MIDDLE_ID = "(SELECT (min(event_id) + max(event_id) + 1) // 2 FROM events)"
+LATE = "(SELECT max(off) + 1 - (max(off) - min(off) + 1) // 100 FROM log)"
+
+
 def key(n: int) -> str:
     return f"{n:016x}"
 
@@ -54,6 +60,20 @@ def thin(spark: SparkSession, sf: str) -> DataFrame:
     return log(spark, sf).select("off", "k", "kind", "ks", "v")
 
 
+def _ends(spark: SparkSession, sf: str) -> tuple[int, int]:
+    return tuple(table(spark, sf, "events").agg(F.min("event_id"), F.max("event_id")).first())
+
+
+def middle(spark: SparkSession, sf: str) -> int:
+    low, high = _ends(spark, sf)
+    return (low + high + 1) // 2
+
+
+def late(spark: SparkSession, sf: str) -> int:
+    low, high = _ends(spark, sf)
+    return high + 1 - (high - low + 1) // 100
+
+
 def probes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(keys.hex_key(F.col("c_custkey")).alias("k"))
 
@@ -155,14 +175,14 @@ def latest_in_prefix(spark, sf):
 # as-of reads and versions
 
 
-@query(f"WITH {LOG} SELECT k, off, v FROM (SELECT * FROM log WHERE off < 5000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) WHERE kind = 'record'")
+@query(f"WITH {LOG} SELECT k, off, v FROM (SELECT * FROM log WHERE off < {MIDDLE} QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) WHERE kind = 'record'")
 def as_of_state(spark, sf):
-    return state.live(thin(spark, sf), limit=5000).select("k", "off", "v")
+    return state.live(thin(spark, sf), limit=middle(spark, sf)).select("k", "off", "v")
 
 
-@query(f"WITH {LOG} SELECT k, off, v FROM (SELECT * FROM log WHERE off < 5000 AND k = '{key(5)}' QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) WHERE kind = 'record'")
+@query(f"WITH {LOG} SELECT k, off, v FROM (SELECT * FROM log WHERE off < {MIDDLE} AND k = '{key(5)}' QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) WHERE kind = 'record'")
 def get_as_of(spark, sf):
-    return state.live(scan.get(thin(spark, sf), key(5)), limit=5000).select("k", "off", "v")
+    return state.live(scan.get(thin(spark, sf), key(5)), limit=middle(spark, sf)).select("k", "off", "v")
 
 
 @query(f"WITH {LOG} SELECT k, count(*) AS pending, min(off) AS first_off, max(off) AS last_off FROM log WHERE off >= 9000 GROUP BY k")
@@ -170,12 +190,12 @@ def unprocessed(spark, sf):
     return state.not_yet(thin(spark, sf), 9000).groupBy("k").agg(F.count(F.lit(1)).alias("pending"), F.min("off").alias("first_off"), F.max("off").alias("last_off"))
 
 
-@query(f"""WITH {LIVE}, old AS (SELECT k, off FROM (SELECT * FROM log WHERE off < 9900 QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) WHERE kind = 'record')
+@query(f"""WITH {LIVE}, old AS (SELECT k, off FROM (SELECT * FROM log WHERE off < {LATE} QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) WHERE kind = 'record')
 SELECT coalesce(o.k, n.k) AS k, o.off AS old, n.off AS new, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM old o FULL JOIN st n ON o.k = n.k WHERE o.off IS DISTINCT FROM n.off""")
 def checkpoint_diff(spark, sf):
     rows = thin(spark, sf)
-    return state.difference(state.live(rows, limit=9900), state.live(rows), "k", "off")
+    return state.difference(state.live(rows, limit=late(spark, sf)), state.live(rows), "k", "off")
 
 
 @query(f"WITH {LOG} SELECT k, off, kind, row_number() OVER (PARTITION BY k ORDER BY off DESC) AS version FROM log")
@@ -310,10 +330,10 @@ def record_crc(spark, sf):
 
 def tiers(spark, sf):
     rows = thin(spark, sf)
-    return [state.newest(state.not_yet(rows, 9900), ["k"]), state.newest(state.as_of(rows, 9900), ["k"])]
+    return [state.newest(state.not_yet(rows, late(spark, sf)), ["k"]), state.newest(state.as_of(rows, late(spark, sf)), ["k"])]
 
 
-LEVELS = f"""{LOG}, l0 AS (SELECT * FROM log WHERE off >= 9900 QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1), l1 AS (SELECT * FROM log WHERE off < 9900 QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1),
+LEVELS = f"""{LOG}, l0 AS (SELECT * FROM log WHERE off >= {LATE} QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1), l1 AS (SELECT * FROM log WHERE off < {LATE} QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1),
 m AS (SELECT * FROM (SELECT *, 0 AS lvl FROM l0 UNION ALL SELECT *, 1 AS lvl FROM l1) QUALIFY row_number() OVER (PARTITION BY k ORDER BY lvl) = 1)"""
 
 
@@ -327,15 +347,15 @@ def level_merge_keep_tombs(spark, sf):
     return state.merge_levels(tiers(spark, sf), ["k"], keep_tombstones=True).select("k", "off", "kind", long("lvl", "lvl"))
 
 
-@query(f"WITH {LIVE}, flushed AS (SELECT k, off FROM log WHERE off < 9900 QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) SELECT k, off FROM live WHERE (k, off) NOT IN (SELECT (k, off) FROM flushed)")
+@query(f"WITH {LIVE}, flushed AS (SELECT k, off FROM log WHERE off < {LATE} QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) SELECT k, off FROM live WHERE (k, off) NOT IN (SELECT (k, off) FROM flushed)")
 def unmerge_flushed(spark, sf):
     rows = thin(spark, sf)
-    return state.newest(rows, ["k"]).join(state.newest(state.as_of(rows, 9900), ["k"]), ["k", "off"], "left_anti").select("k", "off")
+    return state.newest(rows, ["k"]).join(state.newest(state.as_of(rows, late(spark, sf)), ["k"]), ["k", "off"], "left_anti").select("k", "off")
 
 
-@query(f"WITH {LOG} SELECT k, off FROM (SELECT * FROM log WHERE NOT (k <= '{key(63)}' AND off < 9900) QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) WHERE kind = 'record'")
+@query(f"WITH {LOG} SELECT k, off FROM (SELECT * FROM log WHERE NOT (k <= '{key(63)}' AND off < {LATE}) QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) WHERE kind = 'record'")
 def drop_cells(spark, sf):
-    return state.live(retention.drop_range(thin(spark, sf), key(0), key(63), 9900)).select("k", "off")
+    return state.live(retention.drop_range(thin(spark, sf), key(0), key(63), late(spark, sf))).select("k", "off")
 
 
 @query("SELECT user_id % 4 AS ks, count(DISTINCT user_id) AS n FROM events WHERE user_id % 4 NOT IN (2) GROUP BY 1")
@@ -362,16 +382,16 @@ def relocation_filter(spark, sf):
     return retention.relocate_by_index(thin(spark, sf), ["k"], decide, 1 << 62).select("k", "off", "v")
 
 
-@query(f"WITH {LIVE}, cut AS (SELECT min(off) AS c FROM log WHERE kind = 'record' AND off >= 9900 AND v > 100) SELECT k, off FROM st, cut WHERE c IS NOT NULL AND off >= c")
+@query(f"WITH {LIVE}, cut AS (SELECT min(off) AS c FROM log WHERE kind = 'record' AND off >= {LATE} AND v > 100) SELECT k, off FROM st, cut WHERE c IS NOT NULL AND off >= c")
 def relocation_wal(spark, sf):
-    decide = F.when((F.col("off") >= 9900) & (F.col("v") > 100), "stop").otherwise("remove")
+    decide = F.when((F.col("off") >= late(spark, sf)) & (F.col("v") > 100), "stop").otherwise("remove")
     return retention.relocate_by_log(thin(spark, sf), ["k"], decide, F.lit(True)).select("k", "off")
 
 
-@query(f"WITH {LIVE} SELECT k, off FROM st WHERE NOT (off < 9900 AND v < 60)")
+@query(f"WITH {LIVE} SELECT k, off FROM st WHERE NOT (off < {LATE} AND v < 60)")
 def relocation_index(spark, sf):
     decide = F.when(F.col("v") < 60, "remove").otherwise("keep")
-    return retention.relocate_by_index(thin(spark, sf), ["k"], decide, 9900).select("k", "off")
+    return retention.relocate_by_index(thin(spark, sf), ["k"], decide, late(spark, sf)).select("k", "off")
 
 
 @query(f"WITH {LIVE} SELECT k, CASE WHEN off < 9950 AND v < 60 THEN off + 1000000 ELSE off END AS off, off < 9950 AND v < 60 AS moved FROM st")
@@ -386,9 +406,9 @@ def target_ratio(spark, sf):
     return retention.target_position(thin(spark, sf), 0.3)
 
 
-@query(f"WITH {LIVE} SELECT k, off FROM st WHERE off >= 9900")
+@query(f"WITH {LIVE} SELECT k, off FROM st WHERE off >= {LATE}")
 def reclaimed_floor(spark, sf):
-    return state.live(thin(spark, sf)).filter("off >= 9900").select("k", "off")
+    return state.live(thin(spark, sf)).filter(F.col("off") >= late(spark, sf)).select("k", "off")
 
 
 @query("SELECT min(event_id) AS lowest, max(event_id) AS highest FROM events")
@@ -585,10 +605,10 @@ def verify(spark, sf):
     return stats.verify(state.live(rows), state.merge_levels(tiers(spark, sf), ["k"]), ["k"])
 
 
-@query(f"WITH {LIVE}, old AS (SELECT k FROM (SELECT * FROM log WHERE off < 9900 QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) WHERE kind = 'record'), j AS (SELECT a.k AS e, b.k AS f FROM st a FULL JOIN old b ON a.k = b.k) {VERIFY}")
+@query(f"WITH {LIVE}, old AS (SELECT k FROM (SELECT * FROM log WHERE off < {LATE} QUALIFY row_number() OVER (PARTITION BY k ORDER BY off DESC) = 1) WHERE kind = 'record'), j AS (SELECT a.k AS e, b.k AS f FROM st a FULL JOIN old b ON a.k = b.k) {VERIFY}")
 def verify_scan(spark, sf):
     rows = thin(spark, sf)
-    return stats.verify(state.live(rows), state.live(rows, limit=9900), ["k"])
+    return stats.verify(state.live(rows), state.live(rows, limit=late(spark, sf)), ["k"])
 
 
 @query(f"WITH {LIVE} SELECT k, off FROM st WHERE off IN (SELECT event_id FROM events WHERE value >= 10)")
@@ -617,9 +637,9 @@ def largest_value(spark, sf):
     return thin(spark, sf).groupBy("ks").agg(F.max("v").alias("v"), F.max_by("off", F.struct("v", "off")).alias("off"))
 
 
-@query(f"WITH {LOG} SELECT count(*) FILTER (off >= 5000) AS entries, count(*) FILTER (off >= 5000 AND kind = 'record') AS records FROM log")
+@query(f"WITH {LOG} SELECT count(*) FILTER (off >= {MIDDLE}) AS entries, count(*) FILTER (off >= {MIDDLE} AND kind = 'record') AS records FROM log")
 def since_offset(spark, sf):
-    return thin(spark, sf).agg(F.count_if(F.col("off") >= 5000).alias("entries"), F.count_if((F.col("off") >= 5000) & (F.col("kind") == "record")).alias("records"))
+    return thin(spark, sf).agg(F.count_if(F.col("off") >= middle(spark, sf)).alias("entries"), F.count_if((F.col("off") >= middle(spark, sf)) & (F.col("kind") == "record")).alias("records"))
 
 
 @query(f"WITH {LIVE} SELECT (SELECT sum(16 + strlen(props)) FROM log)::BIGINT AS written, sum(16 + strlen(props))::BIGINT AS live, round((SELECT sum(16 + strlen(props)) FROM log)::DOUBLE / sum(16 + strlen(props))::DOUBLE, 4) AS ratio FROM st")
@@ -666,9 +686,9 @@ def wal_walk(spark, sf):
     return log(spark, sf).select("off", "kind", "ks", "k", long(F.octet_length("props"), "value_len"), "v")
 
 
-@query(f"WITH {LOG} SELECT off, kind, ks, k FROM log WHERE off >= 5000")
+@query(f"WITH {LOG} SELECT off, kind, ks, k FROM log WHERE off >= {MIDDLE}")
 def wal_walk_from(spark, sf):
-    return thin(spark, sf).filter("off >= 5000").select("off", "kind", "ks", "k")
+    return thin(spark, sf).filter(F.col("off") >= middle(spark, sf)).select("off", "kind", "ks", "k")
 
 
 @query(f"WITH {LIVE} SELECT k, off, props AS value FROM st")
@@ -690,12 +710,12 @@ def is_empty(spark, sf):
     return rows.agg((F.count(F.lit(1)) == 0).alias("never_written")).join(F.broadcast(live))  # one row each
 
 
-@query("""WITH a AS (SELECT event_type AS ks, count(*) AS n, count(DISTINCT user_id) AS u FROM events WHERE event_id < 5000 GROUP BY 1), b AS (SELECT event_type AS ks, count(*) AS n, count(DISTINCT user_id) AS u FROM events WHERE event_id >= 5000 GROUP BY 1)
+@query(f"""WITH a AS (SELECT event_type AS ks, count(*) AS n, count(DISTINCT user_id) AS u FROM events WHERE event_id < {MIDDLE_ID} GROUP BY 1), b AS (SELECT event_type AS ks, count(*) AS n, count(DISTINCT user_id) AS u FROM events WHERE event_id >= {MIDDLE_ID} GROUP BY 1)
 SELECT coalesce(a.ks, b.ks) AS ks, a.n AS left_n, b.n AS right_n, a.u AS left_keys, b.u AS right_keys FROM a FULL JOIN b ON a.ks = b.ks""")
 def compare_dbs(spark, sf):
     rows = thin(spark, sf)
     one = lambda df, side: df.groupBy("ks").agg(F.count(F.lit(1)).alias(f"{side}_n"), F.countDistinct("k").alias(f"{side}_keys"))
-    return one(state.as_of(rows, 5000), "left").join(one(state.not_yet(rows, 5000), "right"), "ks", "full_outer").select("ks", "left_n", "right_n", "left_keys", "right_keys")
+    return one(state.as_of(rows, middle(spark, sf)), "left").join(one(state.not_yet(rows, middle(spark, sf)), "right"), "ks", "full_outer").select("ks", "left_n", "right_n", "left_keys", "right_keys")
 
 
 @query("""SELECT coalesce(n.n_name, r.r_name) AS name, CASE WHEN n.n_name IS NULL THEN 'new' WHEN r.r_name IS NULL THEN 'retained' ELSE 'kept' END AS status,
