@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,6 +53,26 @@ def places(df: DataFrame, by: list[str], order: list[Column], weight: Column, na
     return upto.join(groups, by).withColumn(name, F.col(name) - F.col("ahead_of_group")).drop("ahead_of_group", "weight_of_row")
 
 
+def earlier(df: DataFrame, by: list[str], order: list[Column], fold: Callable[[Column], Column], join: Callable[[Column, Column], Column], name: str, value: Column) -> DataFrame:
+    """`df` with `name`: `fold` of `value` over the rows before each in its group `by`, null where nothing comes before.
+
+    `order` must be total within a group; `join` puts two results of `fold` together and passes over nulls. Rows are
+    dealt out by range, so a group may be of any size: of the ranges ahead only the result for the group that goes on
+    travels, one row per range.
+    """
+    placed = in_ranges(df.withColumn("value_of_row", value), *(F.asc(c) for c in by), *order)
+    group = F.struct(*by)
+    inside = Window.partitionBy("range_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy("range_part").agg(F.min(group).alias("low"), F.max(group).alias("high"))
+    last = placed.join(F.broadcast(ends.select("range_part", "high")), "range_part").filter(group.eqNullSafe(F.col("high")))
+    held = last.groupBy(F.col("range_part").alias("from_part")).agg(fold(F.col("value_of_row")).alias("held"), F.first("high").alias("goes_on"))
+    ahead = ends.join(F.broadcast(held), F.col("low").eqNullSafe(F.col("goes_on")) & (F.col("from_part") < F.col("range_part")))
+    carried = ahead.groupBy("range_part", "low").agg(fold(F.col("held")).alias("carried"))
+    both = placed.withColumn(name, fold(F.col("value_of_row")).over(inside)).join(F.broadcast(carried), "range_part", "left")
+    of_group = F.when(group.eqNullSafe(F.col("low")), F.col("carried"))
+    return both.withColumn(name, join(F.col(name), of_group)).drop("range_part", "value_of_row", "low", "carried")
+
+
 def ranked(state: DataFrame, by: list[str] | None = None, reverse: bool = False, key: str = "k") -> DataFrame:
     """`state` with `pos`, the place in the order of `key`, unique in `by` or in the whole table; only keys are numbered."""
     order = F.desc(key) if reverse else F.asc(key)

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from keyloom.operators import scan
 
 
 def newest(log: DataFrame, keys: list[str], order: str = "off") -> DataFrame:
@@ -37,14 +38,15 @@ def live(log: DataFrame, keys: list[str] | None = None, limit: int | None = None
 
 
 def versions(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Every version with its number, 1 for the newest of its key."""
-    return log.withColumn("version", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("off"))).cast("long"))
+    """Every version with its number, 1 for the newest of its key; a key may have any number of versions."""
+    newer = scan.earlier(log, keys, [F.desc("off")], F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "version", F.lit(1).cast("long"))
+    return newer.withColumn("version", F.col("version") + 1)
 
 
 def stale(log: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
-    """Writes that arrive after a write of a higher offset to the same key."""
-    before = Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("highest", F.max("off").over(before)).filter(F.col("off") < F.col("highest"))
+    """Writes that arrive after a write of a higher offset to the same key; `arrival` is a total order of a key's writes."""
+    seen = scan.earlier(log, keys, [F.asc(c) for c in arrival], F.max, F.greatest, "highest", F.col("off"))
+    return seen.filter(F.col("off") < F.col("highest"))
 
 
 def difference(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

@@ -153,6 +153,26 @@ def test_neighbours_go_over_ranges(spark):
     assert "hashpartitioning(ks" not in plan
 
 
+def test_versions_and_stale_writes_of_a_hot_key(spark):
+    draw = random.Random(3)
+    rows = [(draw.choice(["hot", "hot", None, f"{n % 40:02x}"]), n, "record", draw.randrange(3000)) for n in range(3000)]
+    log = frame(spark, rows)
+    newest_first = sorted(rows, key=lambda r: -r[1])
+    seen, expected = {}, set()
+    for k, off, *_ in newest_first:
+        seen[k] = seen.get(k, 0) + 1
+        expected.add((k, off, seen[k]))
+    assert {(r["k"], r["off"], r["version"]) for r in state.versions(log, ["k"]).collect()} == expected
+    top, late = {}, set()
+    for k, off, _, v in sorted(rows, key=lambda r: (r[3], r[1])):
+        if off < top.get(k, -1):
+            late.add((k, off, top[k]))
+        top[k] = max(off, top.get(k, -1))
+    got = state.stale(log, ["k"], ["v", "off"])
+    assert {(r["k"], r["off"], r["highest"]) for r in got.collect()} == late and got.columns == [*log.columns, "highest"]
+    assert state.versions(log.limit(0), ["k"]).count() == 0
+
+
 def test_percentiles_and_medians_of_large_groups(spark):
     rng = random.Random(5)
     rows = [(rng.choice("pq"), rng.randrange(5000)) for _ in range(4000)] + [("r", 7)]
