@@ -6,6 +6,7 @@ errors and `record` otherwise, the key space the event type.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -803,6 +804,20 @@ def store_recovered(spark, sf):
     return _held(made.recovered(folder, first.snapshot(folder)))
 
 
+@query(f"WITH {LOG}, {NEWEST} SELECT ks, k, off FROM newest WHERE kind = 'record'")
+def store_tiers(spark, sf):
+    """Two flushes, the second of which promotes the cells with many keys, and a tail that is not flushed."""
+    from keyloom.sources.tiers import Tiers
+
+    made, names = _store(spark, sf)
+    tiers = Tiers(made, new_folder(spark, "tiers"))
+    top = made.frontier()
+    tiers.flush(top, until=top // 3)
+    tiers.flush(top // 20, until=top - top // 10)
+    states = [_held(tiers.state(n)) for n in names]  # key spaces
+    return functools.reduce(DataFrame.unionByName, states)
+
+
 @query(f"WITH {LIVE} SELECT k, off, kind FROM live")
 def stream_live_state(spark, sf):
     from keyloom.streaming import live

@@ -24,6 +24,8 @@ from keyloom.sources.registry import KeySpace, from_json, reconcile, to_json
 LOG = T.StructType([T.StructField("ks", T.StringType()), T.StructField("off", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("k", T.StringType()), T.StructField("v", T.BinaryType())])
 #: above every key in hex
 TOP = "g"
+#: a row's key lies in a range that was dropped after it was written
+COVERED = "ks = of AND off < at AND k BETWEEN first AND last"
 
 
 def _folder(spark: SparkSession, path: str):  # noqa: ANN202
@@ -167,10 +169,21 @@ class Store:
         rows = self._read(self.commits()[:version])
         if not hidden:
             rows = rows.filter(F.col("ks").isin([s.name for s in self.spaces if s.state == "declared"]))
-        drops = rows.filter("kind = 'drop'").select(F.col("ks").alias("of"), F.col("off").alias("at"), F.col("k").alias("first"), F.col("v").cast("string").alias("last"))
-        covered = (F.col("ks") == F.col("of")) & (F.col("off") < F.col("at")) & F.col("k").between(F.col("first"), F.col("last"))
         writes = rows.filter("kind <> 'drop'")
-        return writes.join(small(drops), covered, "left_anti") if drops.limit(1).count() else writes
+        return self.uncovered(writes, version)
+
+    def _drops(self, version: int | None = None) -> DataFrame:
+        drops = self._read(self.commits()[:version]).filter("kind = 'drop'")
+        return drops.select(F.col("ks").alias("of"), F.col("off").alias("at"), F.col("k").alias("first"), F.col("v").cast("string").alias("last"))
+
+    def uncovered(self, rows: DataFrame, version: int | None = None) -> DataFrame:
+        """Rows that no later drop of the log covers."""
+        drops = self._drops(version)
+        return rows.join(small(drops), F.expr(COVERED), "left_anti") if drops.limit(1).count() else rows
+
+    def covered(self, rows: DataFrame, since: int) -> DataFrame:
+        """Rows that a later drop of the log covers, one at an offset from `since` on."""
+        return rows.join(small(self._drops().filter(F.col("at") >= since)), F.expr(COVERED), "left_semi")
 
     def _indexed(self, rows: DataFrame) -> DataFrame:
         """With `index_key`: what stands for the key in its key space; keys that are reduced alike overwrite each other."""
@@ -244,10 +257,8 @@ class Store:
     def recovered(self, snapshot: str, replay_from: int) -> DataFrame:
         """Live rows from a snapshot and the log's tail."""
         held = self.spark.read.schema(LOG).parquet(snapshot)
-        tail = self._read(self.commits()).filter(F.col("off") >= replay_from)
-        drops = tail.filter("kind = 'drop'").select(F.col("ks").alias("of"), F.col("off").alias("at"), F.col("k").alias("first"), F.col("v").cast("string").alias("last"))
-        covered = (F.col("ks") == F.col("of")) & (F.col("off") < F.col("at")) & F.col("k").between(F.col("first"), F.col("last"))
-        rows = held.unionByName(tail.filter("kind <> 'drop'")).join(small(drops), covered, "left_anti")
+        tail = self._read(self.commits()).filter((F.col("off") >= replay_from) & (F.col("kind") != "drop"))
+        rows = self.uncovered(held.unionByName(tail))
         return state.live(self._indexed(rows.filter(F.col("ks").isin([s.name for s in self.spaces if s.state == "declared"]))), ["ks", "index_key"])
 
     def target_position(self, ratio: float) -> int | None:
