@@ -92,9 +92,11 @@ class Store:
 
     def frontier(self) -> int:
         """The offset that the next commit begins with."""
-        names = self.commits()
-        top = self._read(names[-1:]).agg(F.max("off")).first()[0] if names else None
-        return 0 if top is None else top + 1
+        for name in reversed(self.commits()):  # the newest commit that has rows: nearly always the first looked at
+            top = self._read([name]).agg(F.max("off")).first()[0]
+            if top is not None:
+                return max(top + 1, self.settings.get("frontier", 0))
+        return self.settings.get("frontier", 0)
 
     # writing
 
@@ -219,8 +221,8 @@ class Store:
     # maintenance: each job writes a new table
 
     def _rewrite(self, rows: DataFrame, to: str) -> Store:
-        """A store at `to` whose first commit is `rows`, by key range and sorted; offsets are kept."""
-        self._describe(self.spark, to, self.spaces, self.settings, "errorifexists")
+        """A store at `to` whose first commit is `rows`, by key range and sorted; offsets are kept, and none is used again."""
+        self._describe(self.spark, to, self.spaces, self.settings | {"frontier": self.frontier()}, "errorifexists")
         made = Store(self.spark, to)
         made._append(rows.repartitionByRange("ks", "k").sortWithinPartitions("ks", "k"))
         return made
@@ -229,19 +231,38 @@ class Store:
         """The live rows alone, those of undeclared key spaces among them."""
         return self._rewrite(state.live(self._indexed(self.log(hidden=True)), ["ks", "index_key"]), to)
 
-    def relocated(self, ks: str, decide: Column, to: str, mode: str = "index", target: int | None = None) -> Store:
+    def relocated(self, ks: str, decide: Column, to: str, mode: str = "index", target: int | None = None, parts: int = 1) -> Store:
         """A relocation filter applied to one key space; of others the live rows stay.
 
         `decide` gives keep, remove or stop for (k, v, off, kind). Mode `log`: the first stop sets the cut. Mode
         `index`: live rows below the target that decide remove go. What a row that goes had overwritten stays gone.
+        The key range is moved in so many parts of like width, each a commit of the new store. A call that ended early
+        is resumed by the same call: the version it began with and the target are kept with the new store, and the parts
+        that are there are not made again.
         """
-        name, rows = self.space(ks).name, self._indexed(self.log(hidden=True))
+        name = self.space(ks).name
+        asked = {"ks": name, "mode": mode, "asked": target, "parts": parts}
+        fs, path = _folder(self.spark, f"{to.rstrip('/')}/spaces/_SUCCESS")
+        if fs.exists(path):
+            made = Store(self.spark, to)
+            if {k: v for k, v in made.settings.get("relocation", {}).items() if k in asked} != asked:
+                raise ValueError(f"{to}: not a relocation to resume")
+        else:
+            plan = asked | {"version": self.version(), "below": self.frontier() if target is None else target}
+            self._describe(self.spark, to, self.spaces, self.settings | {"frontier": self.frontier(), "relocation": plan}, "errorifexists")
+            made = Store(self.spark, to)
+        plan = made.settings["relocation"]
+        rows = self._indexed(self.log(plan["version"], hidden=True))
         if mode == "log":
             left = retention.relocate_by_log(rows, ["ks", "index_key"], decide, F.col("ks") == name)
         else:
-            below = self.frontier() if target is None else target
-            left = retention.relocate_by_index(rows, ["ks", "index_key"], F.when(F.col("ks") == name, decide).otherwise("keep"), below)
-        return self._rewrite(left, to)
+            left = retention.relocate_by_index(rows, ["ks", "index_key"], F.when(F.col("ks") == name, decide).otherwise("keep"), plan["below"])
+        for part in range(made.version(), parts):  # the bookmark: parts are made in order
+            of_part = left if parts == 1 else left.filter(keys.uniform_cell(F.col("index_key"), parts) == part)
+            made._append(of_part.repartitionByRange("ks", "k").sortWithinPartitions("ks", "k"), f".part.{part}")
+        settings = {k: v for k, v in made.settings.items() if k != "relocation"}
+        self._describe(self.spark, to, made.spaces, settings, "overwrite")
+        return Store(self.spark, to)
 
     def copied(self, to: str, version: int | None = None) -> Store:
         """A version of the store, as it was, at another place."""

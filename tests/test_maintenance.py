@@ -87,6 +87,49 @@ def test_store_relocation_modes_and_verify(spark, tmp_path):
     assert one.verify("k2")["ok"] and store.state("k").count() == 40
 
 
+def test_a_relocation_is_resumed(spark, tmp_path, monkeypatch):
+    store = Store.create(spark, str(tmp_path / "db"), [KeySpace("k", key_length=4)])
+    b = store.batch()
+    for n in range(16):
+        b.write("k", (n << 28).to_bytes(4, "big"), bytes([n]))
+    b.commit()
+    odd, to = F.when(F.conv(F.hex("v"), 16, 10).cast("long") % 2 == 1, "remove").otherwise("keep"), f"{store.root}-1"
+    append, made = Store._append, []
+
+    def fails_at_the_third(self, rows, mark=""):
+        if len(made) == 2:
+            raise OSError("lost")
+        made.append(mark)
+        return append(self, rows, mark)
+
+    monkeypatch.setattr(Store, "_append", fails_at_the_third)
+    with pytest.raises(OSError):
+        store.relocated("k", odd, to, parts=4)
+    assert Store(spark, to).version() == 2
+    monkeypatch.setattr(Store, "_append", append)
+    store.insert("k", (1).to_bytes(4, "big"), b"\x02")  # after the relocation began: not its business
+    with pytest.raises(ValueError):
+        store.relocated("k", odd, to, parts=8)
+    done = store.relocated("k", odd, to, parts=4)
+    assert made == [".part.0", ".part.1"] and done.version() == 4
+    assert sorted(r["v"][0] for r in done.state("k").collect()) == list(range(0, 16, 2))
+    assert done.frontier() == 16 and "relocation" not in done.settings
+    with pytest.raises(ValueError):
+        store.relocated("k", odd, to, parts=4)
+
+
+def test_no_offset_is_used_twice(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "db"), [KeySpace("k", key_length=1)])
+    store.insert("k", b"a", b"1")
+    store.insert("k", b"b", b"1")
+    store.commit(store.log().select("ks", "k", "v", "kind", F.col("off").alias("nth")).limit(0))
+    assert store.frontier() == 2 and store.version() == 3
+    store.remove("k", b"b")
+    other = store.compacted(f"{store.root}-1")
+    assert other.frontier() == store.frontier() == 3 and other.insert("k", b"b", b"2") == 2
+    assert other.get("k", b"b") == b"2" and other.frontier() == 4
+
+
 def test_retention_by_age_when_a_log_is_relocated(spark, tmp_path):
     """Values older than a time to live go when the log is rewritten, unless they were written again."""
     store = Store.create(spark, str(tmp_path / "db"), [KeySpace("k", key_length=4)])
