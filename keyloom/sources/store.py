@@ -90,9 +90,9 @@ class Store:
     def _read(self, names: list[str]) -> DataFrame:
         return self.spark.read.schema(LOG).parquet(*(f"{self.root}/log/{n}" for n in names)) if names else self.spark.createDataFrame([], LOG)
 
-    def frontier(self) -> int:
-        """The offset that the next commit begins with."""
-        for name in reversed(self.commits()):  # the newest commit that has rows: nearly always the first looked at
+    def frontier(self, version: int | None = None) -> int:
+        """The offset that the next commit begins with, or began with after a version."""
+        for name in reversed(self.commits()[:version]):  # the newest commit that has rows: nearly always the first looked at
             top = self._read([name]).agg(F.max("off")).first()[0]
             if top is not None:
                 return max(top + 1, self.settings.get("frontier", 0))
@@ -220,9 +220,9 @@ class Store:
 
     # maintenance: each job writes a new table
 
-    def _rewrite(self, rows: DataFrame, to: str) -> Store:
+    def _rewrite(self, rows: DataFrame, to: str, version: int | None = None) -> Store:
         """A store at `to` whose first commit is `rows`, by key range and sorted; offsets are kept, and none is used again."""
-        self._describe(self.spark, to, self.spaces, self.settings | {"frontier": self.frontier()}, "errorifexists")
+        self._describe(self.spark, to, self.spaces, self.settings | {"frontier": self.frontier(version)}, "errorifexists")
         made = Store(self.spark, to)
         made._append(rows.repartitionByRange("ks", "k").sortWithinPartitions("ks", "k"))
         return made
@@ -266,7 +266,7 @@ class Store:
 
     def copied(self, to: str, version: int | None = None) -> Store:
         """A version of the store, as it was, at another place."""
-        return self._rewrite(self.log(version, hidden=True), to)
+        return self._rewrite(self.log(version, hidden=True), to, version)
 
     def snapshot(self, to: str) -> int:
         """Write the newest entry of every key, removals too, and return the offset from which to replay."""
